@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from interfera.llm.components import components
-from interfera.llm.store import checkpoint, small, table
+from interfera.llm.store import checkpoint, small, small_batches, table
 from interfera.llm.words import SOLID, mix, runs, words
 
 SHINGLE = 5
@@ -89,26 +89,26 @@ def bands(shingle: np.ndarray) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, kind: str) -> DataFrame:
-    """rows: k, t. With kind "bands": k, n, f1, f2 (together the set's identity) and bands; with "set": k, set."""
+    """rows: k, t. Returns k, f (the set's identity, a 64-bit sum of hashes; null for an empty set) and, with kind
+    "bands", n and bands; with "set", set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, j in runs([len(t) if t else 0 for t in texts], _BYTES):
                 sets = shingles(texts[i:j])
-                columns = [batch.column(0).slice(i, j - i)]
+                identity = [int(mix(s ^ np.uint64(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
+                columns = [batch.column(0).slice(i, j - i), pa.array(identity, pa.int64())]
                 if kind == "set":
-                    names = ["k", "set"]
+                    names = ["k", "f", "set"]
                     columns.append(pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())))
                 else:
-                    names = ["k", "n", "f1", "f2", "bands"]
+                    names = ["k", "f", "n", "bands"]
                     columns.append(pa.array([len(s) for s in sets], pa.int64()))
-                    for seed in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3):
-                        columns.append(pa.array(np.array([mix(s ^ np.uint64(seed)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)))
                     columns.append(pa.array([bands(s).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, "k bigint, set array<bigint>" if kind == "set" else "k bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
+    return rows.mapInArrow(run, "k bigint, f bigint, set array<bigint>" if kind == "set" else "k bigint, f bigint, n bigint, bands array<bigint>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -122,35 +122,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """Returns key, n_shingles, component_id (the smallest key reachable over links) and kept (whether that's its own).
 
     Links have a Jaccard similarity of 0.75 or more. Texts that are null or have no words are linked with nothing.
-    Rows of one key and the same text are equal copies: each is returned, and kept. A null key takes part through its
+    Rows of one key and the same text are equal copies: each is returned, and kept if one is; rows of one key with
+    unlike texts are compared each by its own. A null key takes part through its
     text but can't represent it: it is compared as the largest integer of 64 bits, and that is what it is reachable
     as; an otherwise unlinked null key has a null component and is kept. Keys are integers. An empty table gives
     none; other columns are ignored, whatever their names. Memory follows the longest text.
     """
     top = (1 << 63) - 1
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(top)).alias("k"), F.col(text).cast("string").alias("t"))
     every = checkpoint(_sets(rows, "bands"))
-    classes = every.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("k").alias("c"))
-    # of each class the row of the smallest key stands for it; of equal rows, one
-    marked = every.filter("n > 0").select("k", "n", "f1", "f2", "bands").join(classes.select(F.col("c").alias("k"), "n", "f1", "f2"), ["k", "n", "f1", "f2"], "left_semi")
-    links = _links(marked.dropDuplicates(["k", "n", "f1", "f2"]), rows)
-    found = components(links)
-    # one key may have several texts, so several classes: they're told apart by their sets
-    reached = classes.join(found, classes["c"] == found["node"], "left").select("n", "f1", "f2", F.coalesce("component", "c").alias("component"))
-    out = every.join(reached, ["n", "f1", "f2"], "left").withColumn("component", F.coalesce("component", "k"))
+    classes = every.filter("n > 0").groupBy("f").agg(F.min("k").alias("c"))
+    # of each class, a row of the smallest key stands for it
+    marked = every.select("k", "f", "bands").join(classes.select(F.col("c").alias("k"), "f"), ["k", "f"], "left_semi").dropDuplicates(["k", "f"])
+    found = components(_links(marked, rows)).select(F.col("node").alias("f"), F.col("component").alias("root"))
+    joined = classes.join(found, "f")
+    least = joined.groupBy("root").agg(F.min("c").alias("component"))
+    reached = classes.join(joined.select("f", "root").join(least, "root"), "f", "left").select("f", F.coalesce("component", "c").alias("component"))
+    out = every.join(reached, "f", "left").withColumn("component", F.coalesce("component", "k"))
     shown = lambda c: F.when(F.col(c) != top, F.col(c))
     return out.select(shown("k").alias(key), F.col("n").alias("n_shingles"), shown("component").alias("component_id"), (F.col("k") == F.col("component")).alias("kept"))
 
 
 def _links(classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Confirmed links u, v between classes that connect all that is connected; classes: k and bands of each."""
-    keyed = classes.select("k", F.posexplode("bands").alias("band", "b"))
+    """Confirmed links u, v between classes that connect all that is connected. classes: f (its set's identity), k (a
+    key with that set) and bands of each."""
+    keyed = classes.select(F.col("f").alias("k"), F.col("k").alias("doc"), F.posexplode("bands").alias("band", "b"))
     count = keyed.groupBy("b").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     groups = checkpoint(keyed.join(count, "b"))
 
-    wanted = groups.select("k").distinct()
+    wanted = groups.select(F.col("doc").alias("k")).distinct()
     n = wanted.count()
-    sets = _sets(rows.join(small(wanted, n), "k", "left_semi"), "set")
+    sets = _sets(rows.join(small(wanted, n), "k", "left_semi"), "set").select(F.col("f").alias("k"), "set")
     sets = checkpoint(sets.dropDuplicates(["k"]))
 
     followed = groups.filter(f"size <= {GROUP} OR band < {CHAINS}").withColumn("h", F.xxhash64("k", "b"))
