@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from interfera.llm.store import table
+from interfera.llm.store import small_batches, table
 from interfera.llm.words import runs
 
 LETTER, NUMBER, SPACE, BLANK, OTHER, QUOTE = range(6)
@@ -205,7 +205,7 @@ class Merges:
 class _Pieces(dict):
     """The ids of each piece met so far, as little-endian 32-bit integers; emptied when it has ``most`` pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 200_000):
         super().__init__()
         self.merge, self.most = Merges(ranks), most
 
@@ -292,6 +292,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                     names += ["ids", "offsets"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    small_batches(docs.sparkSession)
     kind = docs.select(key).dtypes[0][1]
     schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, offsets array<bigint>" * ids
     return docs.select(key, docs[text].cast("string").alias("text_")).mapInArrow(run, schema)

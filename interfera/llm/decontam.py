@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from interfera.llm.store import table
+from interfera.llm.store import small_batches, table
 from interfera.llm.words import ALNUM, runs, words
 
 WINDOW = 10
@@ -191,6 +191,7 @@ def _blocks(benchmark: DataFrame, window: int) -> list:
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // BENCHMARK_BLOCK))
     part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
+    small_batches(benchmark.sparkSession)
     sc = benchmark.sparkSession.sparkContext
     return [sc.broadcast(Benchmark([tuple(r) for r in rows.filter(part == b).collect()], window)) for b in range(n)]
 
@@ -200,9 +201,9 @@ def _shards(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.R
     held, size = [], 0
     for batch in batches:
         sizes = [len(t) if t else 1 for t in batch.column(text).to_pylist()]
-        for i, j in runs(sizes, 4 * SHARD):
+        for i, j in runs(sizes, 2 * SHARD):
             piece, n = batch.slice(i, j - i), sum(sizes[i:j])
-            if held and size + n > 4 * SHARD:
+            if held and size + n > 2 * SHARD:
                 yield from _one(held, text)
                 held, size = [], 0
             held.append(piece)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from interfera.llm.store import table
+from interfera.llm.store import small_batches, table
 from interfera.llm.words import mix
 
 DIMENSIONS = 512
@@ -107,6 +107,7 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions
     Each task adds up its own rows; the sums of tasks are added natively, in two steps, so no task gets more than a
     short row from each of many.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t")).filter("l IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

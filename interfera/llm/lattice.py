@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from interfera.llm.components import components, forest
-from interfera.llm.store import checkpoint, small, table
+from interfera.llm.store import checkpoint, small, small_batches, table
 from interfera.llm.words import mix
 
 LEAST = 0.9
@@ -207,6 +207,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     gives none; other columns are ignored, whatever their names.
     """
     top = (1 << 63) - 1
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.coalesce(F.col(key).cast("long"), F.lit(top)).alias("k"), F.col(vector).cast("array<double>").alias("v"))
 
     def pack(batches):

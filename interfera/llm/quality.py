@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from interfera.llm.langid import remainder
-from interfera.llm.store import checkpoint, table
+from interfera.llm.store import checkpoint, small_batches, table
 
 #: Labelled documents to learn from, at most; the first by a digest of their ids.
 SAMPLE = 20_000
@@ -97,6 +97,8 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> tupl
 
 
 def _apply(docs: DataFrame, key: str, text: str, value, schema: str, names: list[str], kinds: list) -> DataFrame:
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
@@ -155,6 +157,7 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "tex
     """The rows at or over the cut, all columns as they were; the cut is the same as that of ``score``."""
     weights, cut = model
     at = docs.columns.index(text)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
