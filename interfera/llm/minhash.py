@@ -5,9 +5,9 @@ signature is the least value that the second permutation, shifted circularly by
 are cut into bands, and documents that agree on a band are candidates, confirmed on their full sets.
 
 Documents with the same set are one class from the start; of each class one is compared, so exact copies cost nothing
-more. Candidates of a band are first compared in a chain, neighbour with neighbour, which joins the bulk of a group of
-near copies by as many comparisons as it has members. Then every pair of a band that is still apart is compared. So
-each pair that shares a band is either confirmed or known to be connected, without all pairs of a group.
+more. Classes that share bands, directly or not, are a family. A family is cut into blocks of about BLOCK shingles;
+a task gets two blocks, or one, confirms the pairs that share a band, and returns a spanning forest of the links. So
+no task gets a whole family and no pairs are written, though a family's tasks grow with the square of its blocks.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from interfera.llm.components import components
@@ -31,10 +30,8 @@ PERCENT = 75
 #: 50 bands of 5: two sets of similarity 0.75 share no band with a chance of 1.3e-6.
 BANDS, ROWS = 50, 5
 PLACES = 1 << 20
-#: In a larger group, the chain follows so many bands; pairs that it leaves apart are compared in all.
-CHAINS, GROUP = 12, 8
-#: A chain is cut into lengths of about so many, and their heads chained.
-LINK = 4096
+#: Shingles of a block.
+BLOCK = 1 << 20
 _BYTES = 2 << 20
 
 
@@ -111,13 +108,6 @@ def _sets(rows: DataFrame, kind: str) -> DataFrame:
     return rows.mapInArrow(run, "k bigint, f bigint, set array<bigint>" if kind == "set" else "k bigint, f bigint, n bigint, bands array<bigint>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs u, v those whose sets are alike enough; one column more, ``ok``, says so."""
-    both = pairs.join(sets.select(F.col("k").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("k").alias("v"), F.col("set").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b")).cast("long")
-    return both.select("u", "v", (100 * common >= PERCENT * (F.size("a") + F.size("b") - common)).alias("ok"))
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns key, n_shingles, component_id (the smallest key reachable over links) and kept (whether that's its own).
 
@@ -134,7 +124,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     every = checkpoint(_sets(rows, "bands"))
     classes = every.filter("n > 0").groupBy("f").agg(F.min("k").alias("c"))
     # of each class, a row of the smallest key stands for it
-    marked = every.select("k", "f", "bands").join(classes.select(F.col("c").alias("k"), "f"), ["k", "f"], "left_semi").dropDuplicates(["k", "f"])
+    marked = every.select("k", "f", "n", "bands").join(classes.select(F.col("c").alias("k"), "f"), ["k", "f"], "left_semi").dropDuplicates(["k", "f"])
     found = components(_links(marked, rows)).select(F.col("node").alias("f"), F.col("component").alias("root"))
     joined = classes.join(found, "f")
     least = joined.groupBy("root").agg(F.min("c").alias("component"))
@@ -147,31 +137,59 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def _links(classes: DataFrame, rows: DataFrame) -> DataFrame:
     """Confirmed links u, v between classes that connect all that is connected. classes: f (its set's identity), k (a
     key with that set) and bands of each."""
-    keyed = classes.select(F.col("f").alias("k"), F.col("k").alias("doc"), F.posexplode("bands").alias("band", "b"))
-    count = keyed.groupBy("b").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    groups = checkpoint(keyed.join(count, "b"))
-
-    wanted = groups.select(F.col("doc").alias("k")).distinct()
-    n = wanted.count()
-    sets = _sets(rows.join(small(wanted, n), "k", "left_semi"), "set").select(F.col("f").alias("k"), "set")
-    sets = checkpoint(sets.dropDuplicates(["k"]))
-
-    followed = groups.filter(f"size <= {GROUP} OR band < {CHAINS}").withColumn("h", F.xxhash64("k", "b"))
-    followed = followed.withColumn("part", F.expr(f"pmod(h, size div {LINK} + 1)"))
-    order = W.partitionBy("b", "part").orderBy("h", "k")
-    chain = followed.select("b", "k", F.lag("k").over(order).alias("p"), F.when(F.col("size") > LINK, F.col("part")).alias("part"))
-    heads = chain.filter("p IS NULL AND part IS NOT NULL").select("k", F.lag("k").over(W.partitionBy("b").orderBy("part")).alias("p"))
-    pairs = chain.select("k", "p").unionByName(heads).filter("p IS NOT NULL AND p <> k").select(F.greatest("k", "p").alias("u"), F.least("k", "p").alias("v")).distinct()
-    tried = checkpoint(_confirmed(pairs, sets))
-    links = tried.filter("ok").select("u", "v")
-
-    label = components(links)
-    held = groups.join(label, groups["k"] == label["node"], "left").select("b", "k", F.coalesce("component", "k").alias("c"))
-    apart = held.groupBy("b").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("b")
-    held = held.join(apart, "b", "left_semi")
-    other = held.select("b", F.col("k").alias("u"), F.col("c").alias("cu")).join(held.select("b", F.col("k").alias("v"), F.col("c").alias("cv")), "b")
-    other = other.filter("u > v AND cu <> cv").select("u", "v").distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti")
-    return links.unionByName(_confirmed(other, sets).filter("ok").select("u", "v"))
+    keyed = classes.select(F.col("f").alias("k"), F.explode("bands").alias("b"))
+    count = keyed.groupBy("b").agg(F.count(F.lit(1)).alias("size"), F.min("k").alias("low")).filter("size > 1")
+    family = components(keyed.join(count, "b").select(F.col("low").alias("u"), F.col("k").alias("v")))
+    family = checkpoint(family.join(classes.select(F.col("f").alias("node"), F.col("k").alias("doc"), "n", "bands"), "node"))
+    parts = family.groupBy("component").agg(F.sum("n").alias("all")).select("component", F.ceil(F.col("all") / BLOCK).cast("int").alias("parts"))
+
+    wanted = family.select(F.col("doc").alias("k")).distinct()
+    sets = _sets(rows.join(small(wanted, wanted.count()), "k", "left_semi"), "set").select(F.col("f").alias("node"), "set")
+    held = family.select("node", "component", "bands").join(parts, "component").join(sets.dropDuplicates(["node"]), "node")
+    held = held.withColumn("p", F.expr("cast(pmod(xxhash64(node), parts) AS int)"))
+    # block p meets each block after it, and itself
+    met = held.select("*", F.explode(F.expr("sequence(0, parts - 1)")).alias("q"))
+    met = met.select("component", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), F.col("p"), F.col("node").alias("k"), "bands", "set")
+    return met.groupBy("component", "i", "j").applyInArrow(_confirm, "u bigint, v bigint")
+
+
+def _confirm(block: pa.Table) -> pa.Table:
+    """Of two blocks i and j of a family, or one, a spanning forest of the links: pairs that share a band, confirmed on
+    their sets if they aren't known to be connected."""
+    i, j = block["i"][0].as_py(), block["j"][0].as_py()
+    names, part = block["k"].to_numpy(), block["p"].to_numpy()
+    size = np.array([len(x) for x in block["set"]], dtype=np.int64)
+    flat = block["set"].combine_chunks().values.to_numpy(zero_copy_only=False)
+    band = block["bands"].combine_chunks().values.to_numpy(zero_copy_only=False).reshape(len(names), BANDS)
+    _, place = np.unique(flat, return_inverse=True)
+    first = np.cumsum(size) - size
+    left = np.flatnonzero(part == i)
+    others = np.flatnonzero(part == j)
+    has = np.zeros(int(place.max(initial=-1)) + 1, dtype=bool)
+    root = np.arange(len(names))  # of each row, a row that it's connected with; all of a tree have the same
+    found: list[tuple[int, int]] = []
+    for at, u in enumerate(left):
+        right = others[at + 1 :] if i == j else others
+        right = right[root[right] != root[u]]
+        low, high = np.minimum(size[right], size[u]), np.maximum(size[right], size[u])
+        right = right[100 * low >= PERCENT * high]
+        right = right[(band[right] == band[u]).any(axis=1)]
+        if not len(right):
+            continue
+        mine = place[first[u] : first[u] + size[u]]
+        has[mine] = True
+        for k in range(0, len(right), 1024):
+            some = right[k : k + 1024]
+            n = size[some]
+            starts = np.cumsum(n) - n
+            index = np.arange(n.sum()) + np.repeat(first[some] - starts, n)
+            common = np.add.reduceat(has[place[index]].astype(np.int64), starts)
+            for v in some[100 * common >= PERCENT * (n + size[u] - common)].tolist():
+                if root[v] != root[u]:
+                    root[root == root[v]] = root[u]
+                    found.append((int(names[u]), int(names[v])))
+        has[mine] = False
+    return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
 
 def op4_circulant_minhash(spark, sf_dir: str) -> DataFrame:
