@@ -35,7 +35,7 @@ LOOSE = {
     "card": r"(?<![0-9])[0-9](?:[\x20./-]{0,2}[0-9]){11,18}+(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+|00)?[0-9]{0,3}[\x20./-]?\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20./-]?[0-9]{3,4}(?![0-9])",
 }
-_OCTETS = r"^0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
+_OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 _CONTEXT = 32
 PRECISION = 0.95
 TREES, RATE, RIDGE = 24, 0.3, 1.0
