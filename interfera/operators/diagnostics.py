@@ -44,7 +44,7 @@ def neighbour_median(tracks: DataFrame, *by: str, window: int = 2) -> DataFrame:
     """Adds ``scale``: the median amplitude of up to ``window`` channels on either side, itself left out; with fewer
     than two, that of the track."""
     order = W.partitionBy(*by).orderBy("chan")
-    near = F.concat(F.collect_list("amp").over(order.rowsBetween(-window, -1)), F.collect_list("amp").over(order.rowsBetween(1, window)))
+    near = F.concat(F.collect_list("amp").over(order.rangeBetween(-window, -1)), F.collect_list("amp").over(order.rangeBetween(1, window)))
     n = F.size("near_")
     mid = (F.element_at("near_", F.floor((n + 1) / 2).cast("int")) + F.element_at("near_", F.floor(n / 2).cast("int") + 1)) / 2
     out = tracks.withColumn("near_", F.array_sort(near)).withColumn("all_", F.median("amp").over(W.partitionBy(*by)))
