@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from interfera.functions.cplx import abs2, conj, div, mul, sampled, weighted
@@ -66,3 +67,42 @@ def window_mean(rows: DataFrame, windows: DataFrame, width_s: int = 3600) -> Dat
     a = rows.withColumn("cell", F.floor(F.col("t") / width_s))
     b = windows.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width_s), F.floor(F.col("hi") / width_s))))
     return a.join(b, ["station", "cell"]).where(F.col("t").between(F.col("lo"), F.col("hi"))).groupBy("station", "name").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+def interpolate(rows: DataFrame, points: DataFrame, width_s: int = 86400) -> DataFrame:
+    """Adds ``value`` to points (station, t, others): linear between the rows (station, t, value) on either side.
+
+    A station's only row holds at any time; beyond a station's rows, or without any, the value is NaN. Of rows of equal
+    time the smallest value counts. Rows and points are sorted by cells of ``width_s``; what lies before and after a
+    cell comes from a row for each cell, so no task gets all of a station.
+    """
+    cell = F.floor(F.col("t") / width_s).alias("cell")
+    rows = rows.groupBy("station", "t").agg(F.min("value").alias("value")).select("station", cell, "t", F.struct("t", "value").alias("row_"))
+    points = points.select("*", cell)
+    names = points.columns
+    ends = rows.groupBy("station", "cell").agg(F.min("row_").alias("head"), F.max("row_").alias("tail"), F.count(F.lit(1)).alias("n"))
+    cells = points.select("station", "cell").distinct().join(ends, ["station", "cell"], "full")
+    order = W.partitionBy("station").orderBy
+    earlier, later = (order(c).rowsBetween(W.unboundedPreceding, -1) for c in ("cell", F.desc("cell")))
+    carried = cells.select("station", "cell", F.last("tail", True).over(earlier).alias("tail_"), F.last("head", True).over(later).alias("head_"), F.sum("n").over(W.partitionBy("station")).alias("n_"), F.max("head").over(W.partitionBy("station")).alias("only_"))
+    both = points.withColumn("row_", F.lit(None).cast(rows.schema["row_"].dataType)).unionByName(rows, allowMissingColumns=True).withColumn("point_", F.col("row_").isNull())
+    inside = W.partitionBy("station", "cell")
+    before = F.last("row_", True).over(inside.orderBy("t", "point_").rowsBetween(W.unboundedPreceding, 0))
+    after = F.last("row_", True).over(inside.orderBy(F.desc("t"), "point_").rowsBetween(W.unboundedPreceding, 0))
+    found = both.withColumns({"a_": before, "b_": after}).where("point_").join(carried, ["station", "cell"], "left")
+    found = found.withColumns({"a_": F.coalesce("a_", "tail_"), "b_": F.coalesce("b_", "head_")})
+    share = (F.col("t") - F.col("a_.t")) / (F.col("b_.t") - F.col("a_.t"))
+    line = F.when(F.col("a_.t") == F.col("b_.t"), F.col("a_.value")).otherwise(F.col("a_.value") + share * (F.col("b_.value") - F.col("a_.value")))
+    value = F.when(F.col("n_") == 1, F.col("only_.value")).when(F.col("a_").isNull() | F.col("b_").isNull(), float("nan")).otherwise(line)
+    return found.withColumn("value", F.coalesce(value, F.lit(float("nan")))).select(*[c for c in names if c != "cell"], "value")
+
+
+def pick_column(columns: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Adds ``at`` to wanted (station, channel, pol): the column (station, at, channel, pol) of that channel and
+    polarisation, else the channel's for both, else the one for all channels, else that for both; 0 without any.
+    Of equals the first counts."""
+    tries = F.array(*[F.struct(F.lit(i).alias("rank"), c.alias("c"), p.alias("p")) for i, (c, p) in enumerate((c, p) for c in (F.col("channel"), F.lit(0)) for p in (F.col("pol"), F.lit("both")))])
+    first = columns.groupBy("station", F.col("channel").alias("c"), F.col("pol").alias("p")).agg(F.min("at").alias("at"))
+    asked = wanted.select("station", "channel", "pol", F.inline(tries))
+    best = asked.join(first, ["station", "c", "p"], "left").groupBy("station", "channel", "pol").agg(F.min(F.when(F.col("at").isNotNull(), F.struct("rank", "at"))).alias("best"))
+    return best.select("station", "channel", "pol", F.coalesce("best.at", F.lit(0)).alias("at"))

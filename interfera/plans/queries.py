@@ -304,3 +304,36 @@ def _(spark, sf_dir):
 @query("apply_elementwise", "SELECT partition_key, count(*) AS n, round(sum(CASE WHEN w > 0 THEN w ELSE 0.0 END), 4) AS weight FROM vis GROUP BY ALL")
 def _(vis):
     return vis.groupBy("partition_key").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.when(weighted(), F.col("w")).otherwise(0.0)), 4).alias("weight"))
+
+
+_EVENTS = "(SELECT event_type AS station, epoch_us(ts) / 1e6 AS t, value, event_id, user_id FROM events)"
+
+
+@query("tsys_asof_interp", f"""WITH r AS (SELECT station, t, min(value) AS v FROM {_EVENTS} GROUP BY ALL), p AS (SELECT DISTINCT station, CAST(floor(t / 86400) AS BIGINT) AS day FROM r),
+q AS (SELECT station, day, day * 86400.0::DOUBLE + 43200 AS t FROM p), a AS (SELECT q.*, r.t AS ta, r.v AS va FROM q ASOF LEFT JOIN r ON q.station = r.station AND q.t >= r.t),
+b AS (SELECT a.*, r.t AS tb, r.v AS vb FROM a ASOF LEFT JOIN r ON a.station = r.station AND a.t <= r.t)
+SELECT station, day, round(CASE WHEN ta IS NULL OR tb IS NULL THEN 'nan'::DOUBLE WHEN ta = tb THEN va ELSE va + (t - ta) / (tb - ta) * (vb - va) END, 5) AS value FROM b""", vis=False)
+def _(spark, sf_dir):
+    rows = calibration(spark, sf_dir).select("station", "t", "value")
+    days = rows.select("station", F.floor(F.col("t") / 86400).alias("day")).distinct()
+    points = days.select("station", "day", (F.col("day") * 86400.0 + 43200).cast("double").alias("t"))
+    return calibrate.interpolate(rows, points).select("station", "day", *r("value", digits=5))
+
+
+@query("column_priority", """WITH c AS (SELECT event_type AS station, event_id AS "at", CAST(user_id % 5 AS INT) AS channel, CASE event_id % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'L' ELSE 'both' END AS pol FROM events WHERE event_id % 97 = 0),
+w AS (SELECT DISTINCT station, ch AS channel, p AS pol FROM (SELECT DISTINCT station FROM c), (SELECT CAST(unnest(range(1, 8)) AS INT) AS ch), (VALUES ('R'), ('L')) t(p))
+SELECT station, channel, pol, coalesce((SELECT "at" FROM c WHERE c.station = w.station AND c.channel IN (w.channel, 0) AND c.pol IN (w.pol, 'both') ORDER BY c.channel <> w.channel, c.pol = 'both', "at" LIMIT 1), 0) AS "at" FROM w""", vis=False)
+def _(spark, sf_dir):
+    pol = F.when(F.col("event_id") % 3 == 0, "R").when(F.col("event_id") % 3 == 1, "L").otherwise("both")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 97 = 0")
+    columns = rows.select(F.col("event_type").alias("station"), F.col("event_id").alias("at"), (F.col("user_id") % 5).cast("int").alias("channel"), pol.alias("pol"))
+    wanted = columns.select("station").distinct().select("station", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("channel")).select("*", F.explode(F.array(F.lit("R"), F.lit("L"))).alias("pol"))
+    return calibrate.pick_column(columns, wanted)
+
+
+@query("collapsed", f"""WITH t AS ({_TRACK.format(x="sqrt(x * x + y * y) / W AS amp")}),
+m AS (SELECT a.ant1, a.ant2, a.pol, a.chan, a.amp, CASE WHEN count(b.amp) FILTER (abs(a.chan - b.chan) BETWEEN 1 AND 2) >= 2 THEN median(b.amp) FILTER (abs(a.chan - b.chan) BETWEEN 1 AND 2) ELSE median(b.amp) END AS scale
+FROM t a JOIN t b USING (ant1, ant2, pol) GROUP BY ALL)
+SELECT ant1, ant2, pol, chan, round(amp, 6) AS amp FROM m WHERE amp < 0.01 OR amp < 0.9 * scale""")
+def _(vis):
+    return diagnostics.collapsed(_track(vis, "amp"), "ant1", "ant2", "pol", fraction=0.9).select("ant1", "ant2", "pol", "chan", *r("amp"))
