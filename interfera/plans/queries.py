@@ -322,13 +322,13 @@ def _(spark, sf_dir):
 
 @query("column_priority", """WITH c AS (SELECT event_type AS station, event_id AS "at", CAST(user_id % 5 AS INT) AS channel, CASE event_id % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'L' ELSE 'both' END AS pol FROM events WHERE event_id % 97 = 0),
 w AS (SELECT DISTINCT station, ch AS channel, p AS pol FROM (SELECT DISTINCT station FROM c), (SELECT CAST(unnest(range(1, 8)) AS INT) AS ch), (VALUES ('R'), ('L')) t(p))
-SELECT station, channel, pol, coalesce((SELECT "at" FROM c WHERE c.station = w.station AND c.channel IN (w.channel, 0) AND c.pol IN (w.pol, 'both') ORDER BY c.channel <> w.channel, c.pol = 'both', "at" LIMIT 1), 0) AS "at" FROM w""", vis=False)
+SELECT station, channel, pol, coalesce((SELECT "at" FROM c WHERE c.station = w.station AND c.channel IN (w.channel, 0) AND c.pol IN (w.pol, 'both') ORDER BY c.channel <> w.channel, c.pol = 'both', "at" LIMIT 1), 0) AS place FROM w""", vis=False)
 def _(spark, sf_dir):
     pol = F.when(F.col("event_id") % 3 == 0, "R").when(F.col("event_id") % 3 == 1, "L").otherwise("both")
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 97 = 0")
     columns = rows.select(F.col("event_type").alias("station"), F.col("event_id").alias("at"), (F.col("user_id") % 5).cast("int").alias("channel"), pol.alias("pol"))
     wanted = columns.select("station").distinct().select("station", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("channel")).select("*", F.explode(F.array(F.lit("R"), F.lit("L"))).alias("pol"))
-    return calibrate.pick_column(columns, wanted)
+    return calibrate.pick_column(columns, wanted).withColumnRenamed("at", "place")
 
 
 @query("collapsed", f"""WITH t AS ({_TRACK.format(x="sqrt(x * x + y * y) / W AS amp")}),
