@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from interfera.llm.store import small_batches, table
+from interfera.llm.store import small_batches, table, tidy
 from interfera.llm.words import runs
 
 LETTER, NUMBER, SPACE, BLANK, OTHER, QUOTE = range(6)
@@ -295,7 +295,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     small_batches(docs.sparkSession)
     kind = docs.select(key).dtypes[0][1]
     schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, offsets array<bigint>" * ids
-    return docs.select(key, docs[text].cast("string").alias("text_")).mapInArrow(run, schema)
+    return docs.select(key, docs[text].cast("string").alias("text_")).mapInArrow(tidy(run), schema)
 
 
 def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:

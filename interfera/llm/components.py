@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from interfera.llm.store import checkpoint
+from interfera.llm.store import checkpoint, tidy
 
 
 def forest(u: list, v: list) -> dict:
@@ -41,7 +41,7 @@ def _thin(links: DataFrame) -> DataFrame:
             a = np.array(pairs[i : i + (1 << 16)], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["u", "v"])
 
-    return links.mapInArrow(run, "u bigint, v bigint")
+    return links.mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from interfera.llm.store import small_batches, table
+from interfera.llm.store import small_batches, table, tidy
 from interfera.llm.words import ALNUM, runs, words
 
 WINDOW = 10
@@ -252,7 +252,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["k", "t", "n", "ranges", "items", "longest", "at"])
 
-        rows = rows.mapInArrow(step, f"k {kind}, t string, {state}")
+        rows = rows.mapInArrow(tidy(step), f"k {kind}, t string, {state}")
     n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, x: x - a)  # ends less starts, for an even number
     return rows.select(F.col("k").alias(key), F.col("n").alias("n_words"), n_hit.alias("n_hit"), "items", F.col("longest").alias("longest_match"), F.col("at").alias("longest_at"))
 
@@ -266,7 +266,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
             for batch, texts in _shards(batches, at):
                 yield batch.filter(pa.array([not f[1] for f in match_shard(texts, block.value)], pa.bool_()))
 
-        docs = docs.mapInArrow(step, docs.schema)
+        docs = docs.mapInArrow(tidy(step), docs.schema)
     return docs
 
 

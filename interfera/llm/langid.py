@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from interfera.llm.store import small_batches, table
+from interfera.llm.store import small_batches, table, tidy
 from interfera.llm.words import mix
 
 DIMENSIONS = 512
@@ -120,7 +120,7 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["l", "v"])
 
     sums = [F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(dimensions)]
-    parts = rows.mapInArrow(run, "l string, v array<double>").withColumn("salt", F.spark_partition_id() % 64)
+    parts = rows.mapInArrow(tidy(run), "l string, v array<double>").withColumn("salt", F.spark_partition_id() % 64)
     half = parts.groupBy("l", "salt").agg(F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(dimensions)]).alias("v"))
     return half.groupBy("l").agg(F.array(*sums).alias("v")).select(F.col("l").alias("lang"), "v")
 
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, languages: DataFrame, key: str = "doc_id", text: s
                 )
 
     rows = docs.select(key, docs[text].cast("string").alias("text_"))
-    return rows.mapInArrow(run, f"`{key}` {rows.dtypes[0][1]}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"`{key}` {rows.dtypes[0][1]}, lang_pred string, score double")
 
 
 def remainder(key: str, n: int):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from interfera.llm.components import components, forest
-from interfera.llm.store import checkpoint, small, small_batches, table
+from interfera.llm.store import checkpoint, small, small_batches, table, tidy
 from interfera.llm.words import mix
 
 LEAST = 0.9
@@ -195,7 +195,7 @@ def _spread(rows: DataFrame) -> DataFrame:
                 spread = part.take(index)
                 yield pa.RecordBatch.from_arrays([pa.array(every.reshape(-1)), pa.array(tables), pa.array(probe), *spread.columns], names=["b", "t", "probe", "id", "m", "x"])
 
-    return rows.mapInArrow(run, "b bigint, t int, probe boolean, id bigint, m bigint, x binary")
+    return rows.mapInArrow(tidy(run), "b bigint, t int, probe boolean, id bigint, m bigint, x binary")
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from interfera.llm.store import small_batches, table
+from interfera.llm.store import small_batches, table, tidy
 
 #: Words that must stand together, and the labels of the contract.
 BASE = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
@@ -164,7 +164,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names=[key, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
     rows = docs.select(key, docs[text].cast("string").alias("text_"))
-    return rows.mapInArrow(run, f"`{key}` {rows.dtypes[0][1]}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")
+    return rows.mapInArrow(tidy(run), f"`{key}` {rows.dtypes[0][1]}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")
 
 
 def op10_template_licenses(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from interfera.llm.components import components
-from interfera.llm.store import checkpoint, small, small_batches, table
+from interfera.llm.store import checkpoint, small, small_batches, table, tidy
 from interfera.llm.words import SOLID, mix, runs, words
 
 SHINGLE = 5
@@ -105,7 +105,7 @@ def _sets(rows: DataFrame, kind: str) -> DataFrame:
                     columns.append(pa.array([bands(s).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, "k bigint, f bigint, set array<bigint>" if kind == "set" else "k bigint, f bigint, n bigint, bands array<bigint>")
+    return rows.mapInArrow(tidy(run), "k bigint, f bigint, set array<bigint>" if kind == "set" else "k bigint, f bigint, n bigint, bands array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

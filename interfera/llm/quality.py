@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from interfera.llm.langid import remainder
-from interfera.llm.store import checkpoint, small_batches, table
+from interfera.llm.store import checkpoint, small_batches, table, tidy
 
 #: Labelled documents to learn from, at most; the first by a digest of their ids.
 SAMPLE = 20_000
@@ -106,7 +106,7 @@ def _apply(docs: DataFrame, key: str, text: str, value, schema: str, names: list
                 x = np.array([features(t) for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v, k) for v, k in zip(value(x, part), kinds)]], names=["k", *names])
 
-    return docs.mapInArrow(run, f"k {docs.dtypes[0][1]}, {schema}")
+    return docs.mapInArrow(tidy(run), f"k {docs.dtypes[0][1]}, {schema}")
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
@@ -150,7 +150,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id",
             s = np.where(r < cut, np.minimum(s, CUT * (1 - 1e-9)), np.maximum(s, CUT))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=[key, "score"])
 
-    return raw.mapInArrow(run, f"`{key}` {raw.dtypes[0][1]}, score double")
+    return raw.mapInArrow(tidy(run), f"`{key}` {raw.dtypes[0][1]}, score double")
 
 
 def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:
@@ -164,7 +164,7 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "tex
             x = np.array([features(t) for t in batch.column(at).to_pylist()]).reshape(-1, FEATURES)
             yield batch.filter(pa.array(x @ weights >= cut, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op7_bradley_terry_quality(spark, sf_dir: str) -> DataFrame:
