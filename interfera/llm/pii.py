@@ -93,7 +93,7 @@ def _number(kind: int, t: Column, x: Column) -> Column:
 
 def propose(rows: DataFrame) -> DataFrame:
     """rows: k and t (not null), and any others. Adds a column of confirmed spans for each kind, and ``more``: the
-    other proposals, as k (kind), s, e, x (number), y (confirmed, 0 or 1), not in a confirmed span."""
+    proposals, as k (kind), s, e, x (number), y (confirmed, 0 or 1), without unconfirmed ones in a confirmed span."""
     for kind, (pattern, has) in STRICT.items():
         rows = find(rows, "t", kind, pattern, F.col("t").rlike("[0-9]") if has is None else F.contains("t", F.lit(has)))
         rows = rows.withColumn(kind, F.filter(kind, _keeps(kind)))
@@ -183,8 +183,10 @@ def learn(proposed: DataFrame) -> tuple[float, list[Tree], list[float]]:
 
 
 def select(proposed: DataFrame, model: tuple[float, list[Tree], list[float]]) -> DataFrame:
-    """Adds ``found``: the kind (its place in KINDS), s, e of confirmed and selected spans, in order."""
+    """Adds ``found``: the kind (its place in KINDS), s, e of base spans and of selected proposals outside them, in
+    order. A proposal outside them may be confirmed too: the base match may take a neighbour in and then fail."""
     bias, trees, limits = model
+    base = F.concat(*[F.col(k) for k in KINDS])
 
     def bit(x: Column, i: int) -> Column:
         return x.bitwiseAND(F.lit(1 << i)) != 0
@@ -199,7 +201,8 @@ def select(proposed: DataFrame, model: tuple[float, list[Tree], list[float]]) ->
         least = F.lit(math.inf)
         for i, limit in enumerate(limits):
             least = F.when(x["k"] == i, F.lit(limit - 1e-9)).otherwise(least)
-        return (x["y"] == 0) & (score(x["x"]) >= least)
+        covered = F.exists(base, lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"]))
+        return (score(x["x"]) >= least) & ~covered
 
     def tag(i: int):
         return lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"))

@@ -53,6 +53,17 @@ def test_pii(docs):
     assert new[12] == "mail [EMAIL], [PHONE] or [IP] and 999.1.1.1; [CARD], 4111111111111112" and new[0] is None and new[5] == LINE
 
 
+def test_pii_confirmed_proposals_outside_base_spans(spark):
+    """A phone number before an address: the base match takes both and fails, the proposal is judged by its score."""
+    plain = [(i, f"call +1 (555) 123-4{i:03d} today") for i in range(300)]
+    lost = spark.createDataFrame([*plain, (900, "+1 (826) 555-4081 190.137.223.204")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.detect(lost).collect()}
+    assert got[900]["phone"] == [] and [(x["k"], x["s"], x["e"]) for x in got[900]["found"]] == [(3, 0, 17), (1, 18, 33)]
+    assert all([(x["k"], x["s"], x["e"]) for x in got[i]["found"]] == [(3, 5, 22)] for i in range(300))
+    new = {r["doc_id"]: r["text"] for r in pii.redact(lost).collect()}
+    assert new[900] == "[PHONE] [IP]" and new[7] == "call [PHONE] today"
+
+
 def test_boost_learns_what_bits_say():
     bias, trees = pii.boost([(0b01, 100, 2), (0b10, 100, 98), (0b11, 50, 1), (0b00, 50, 1)])
     score = lambda x: bias + sum(pii._value(t, x) for t in trees)
