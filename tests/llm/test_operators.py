@@ -64,6 +64,21 @@ def test_pii_confirmed_proposals_outside_base_spans(spark):
     assert new[900] == "[PHONE] [IP]" and new[7] == "call [PHONE] today"
 
 
+def test_pii_proposes_every_alternative(spark):
+    texts = ["x 36784127813050 4845168114407329.", "jane (at) example.com", "12 3456-7890 1234/5678 90 1234567890123456789012 1", "1 " * 40, "none"]
+    rows = pii.propose(spark.createDataFrame(list(enumerate(texts)), "k long, t string")).collect()
+    got = {r["k"]: sorted((x["s"], x["e"]) for x in r["more"] if x["k"] == 2) for r in rows}
+    for i, t in enumerate(texts):
+        runs = [(m.start(), m.end()) for m in re.finditer("[0-9]+", t)]
+        close = lambda a, b: all(re.fullmatch("[ ./-]{1,2}", t[p[1] : q[0]]) for p, q in zip(runs[a:b], runs[a + 1 : b + 1]))
+        digits = lambda a, b: sum(e - s for s, e in runs[a : b + 1])
+        base = matches(r"[0-9]([\x20-]?[0-9])+", t, luhn)
+        want = [(runs[a][0], runs[b][1]) for a in range(len(runs)) for b in range(a, len(runs)) if 12 <= digits(a, b) <= 19 and close(a, b)]
+        assert got[i] == [w for w in want if w in base or not any(s <= w[0] and w[1] <= e for s, e in base)]
+    assert {(2, 16), (17, 33)} <= set(got[0])
+    assert [(x["k"], x["s"], x["e"]) for r in rows if r["k"] == 1 for x in r["more"]] == [(0, 0, 21)]
+
+
 def test_boost_learns_what_bits_say():
     bias, trees = pii.boost([(0b01, 100, 2), (0b10, 100, 98), (0b11, 50, 1), (0b00, 50, 1)])
     score = lambda x: bias + sum(pii._value(t, x) for t in trees)
