@@ -324,9 +324,22 @@ def _(spark, sf_dir):
 w AS (SELECT DISTINCT station, ch AS channel, p AS pol FROM (SELECT DISTINCT station FROM c), (SELECT CAST(unnest(range(1, 8)) AS INT) AS ch), (VALUES ('R'), ('L')) t(p))
 SELECT station, channel, pol, coalesce((SELECT "at" FROM c WHERE c.station = w.station AND c.channel IN (w.channel, 0) AND c.pol IN (w.pol, 'both') ORDER BY c.channel <> w.channel, c.pol = 'both', "at" LIMIT 1), 0) AS place FROM w""", vis=False)
 def _(spark, sf_dir):
+    return _column_priority(spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 97 = 0"))
+
+
+@query("column_priority_all", """WITH c AS (SELECT event_type AS station, event_id AS "at", CAST(user_id % 5 AS INT) AS channel, CASE event_id % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'L' ELSE 'both' END AS pol FROM events),
+g AS (SELECT station, channel, pol, min("at") AS "at" FROM c GROUP BY ALL),
+w AS (SELECT station, ch AS channel, p AS pol FROM (SELECT DISTINCT station FROM c), (SELECT CAST(unnest(range(1, 8)) AS INT) AS ch), (VALUES ('R'), ('L')) t(p))
+SELECT w.station, w.channel, w.pol, coalesce(g1."at", g2."at", g3."at", g4."at", 0) AS place FROM w
+ LEFT JOIN g g1 ON g1.station = w.station AND g1.channel = w.channel AND g1.pol = w.pol LEFT JOIN g g2 ON g2.station = w.station AND g2.channel = w.channel AND g2.pol = 'both'
+ LEFT JOIN g g3 ON g3.station = w.station AND g3.channel = 0 AND g3.pol = w.pol LEFT JOIN g g4 ON g4.station = w.station AND g4.channel = 0 AND g4.pol = 'both'""", vis=False)
+def _(spark, sf_dir):
+    return _column_priority(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _column_priority(events: DataFrame) -> DataFrame:
     pol = F.when(F.col("event_id") % 3 == 0, "R").when(F.col("event_id") % 3 == 1, "L").otherwise("both")
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 97 = 0")
-    columns = rows.select(F.col("event_type").alias("station"), F.col("event_id").alias("at"), (F.col("user_id") % 5).cast("int").alias("channel"), pol.alias("pol"))
+    columns = events.select(F.col("event_type").alias("station"), F.col("event_id").alias("at"), (F.col("user_id") % 5).cast("int").alias("channel"), pol.alias("pol"))
     wanted = columns.select("station").distinct().select("station", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("channel")).select("*", F.explode(F.array(F.lit("R"), F.lit("L"))).alias("pol"))
     return calibrate.pick_column(columns, wanted).withColumnRenamed("at", "place")
 
