@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from interfera.llm import bpe, decontam, minhash, pii, quality
 from interfera.llm.langid import remainder
-from interfera.llm.store import table
+from interfera.llm.store import checkpoint, small, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +20,18 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document of the smallest id."""
-    found = minhash.near_duplicates(docs)
-    gone = found.filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates, one row: of those of the smallest id (null: largest) any one.
+
+    Rows are numbered and written first, so that they're told apart whatever their ids.
+    """
+    row = "row_" + uuid.uuid4().hex
+    path = f"{_folder(spark)}/unique-{uuid.uuid4().hex}"
+    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
+    held = spark.read.parquet(path)
+    found = minhash.near_duplicates(held, row).select(row, "component_id").join(held.select(row, "doc_id"), row)
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first")).select(f"first.{row}")
+    gone = checkpoint(found.select(row).join(kept, row, "left_anti"))
+    return held.join(small(gone, gone.count()), row, "left_anti").select(*docs.columns)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +52,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), ids=True).drop("offsets")
 
 
+def _folder(spark: SparkSession) -> str:
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+
+
 STAGES = [("quality", good), ("near-dedup", unique), ("decontamination", unseen), ("pii", private), ("bpe", tokens)]
 
 #: Stages learn from data, which SQL can't express; tests hold them against brute force.
@@ -52,11 +64,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents, each written to the checkpoint folder and read again."""
-    sc = spark.sparkContext
     docs = table(spark, sf_dir, "documents")
-    folder = sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
     for name, stage in STAGES[:-1]:
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

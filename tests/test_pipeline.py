@@ -1,0 +1,31 @@
+"""Stages of the pipeline on small tables with null and repeated ids."""
+
+import corpus_pipeline
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+
+
+def prose(seed, n=80):
+    return " ".join(f"w{seed}x{k}" for k in range(n))
+
+
+def test_unique_keeps_one_row_of_each_group(spark):
+    a, b, c, d, e = (prose(s) for s in "abcde")
+    rows = [
+        (None, a), (None, a), (None, a + " more"),  # only null ids
+        (5, b), (None, b), (7, b + " more"), (3, b + " again"),  # the smallest id, not null
+        (9, c), (9, c),  # a row given twice
+        (11, d), (11, e), (12, e + " more"), (10, e + " again"),  # an id with unlike texts, one of them a copy
+        (None, None), (None, None), (20, ""), (20, ""),  # no words: like nothing
+    ]
+    docs = table(spark, rows)
+    out = corpus_pipeline.unique(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    few = [x for x in got if not (x[0] is None and (x[1] or "").startswith(a))]
+    want = [(3, b + " again"), (9, c), (10, e + " again"), (11, d), (None, None), (None, None), (20, ""), (20, "")]
+    assert few == sorted(want, key=str) and len(got) - len(few) == 1
