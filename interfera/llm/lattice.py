@@ -203,7 +203,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Vectors of unlike
     lengths are in different spaces and don't link. Equal vectors link, as do equal directions. Rows of one key count
-    as so many vectors. Null keys are compared as the largest integer of 64 bits and shown as null. An empty table
+    as so many vectors, unlike ones each by its own. Null keys are compared as the largest integer of 64 bits and
+    shown as null. An empty table
     gives none; other columns are ignored, whatever their names.
     """
     top = (1 << 63) - 1
@@ -214,23 +215,25 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_rows_of(batch.column(1)), pa.binary())], names=["k", "x"])
 
-    every = checkpoint(rows.mapInArrow(pack, "k bigint, x binary").withColumn("f", F.when(F.col("x").isNotNull(), F.sha2("x", 256))))
-    classes = every.filter("x IS NOT NULL").groupBy("f").agg(F.min("k").alias("id"), F.count(F.lit(1)).alias("m"))
-    # a key may stand for several classes if its rows differ: then classes need names of their own
-    shape = every.filter("x IS NOT NULL").select("f", "x", F.length("x").alias("size"), F.col("k").alias("id"))
-    reps = shape.join(classes, ["f", "id"]).dropDuplicates(["f"])
+    # a class of equal vectors is named by a hash of them, not by a key: unlike rows may have the same key, or none
+    every = checkpoint(rows.mapInArrow(pack, "k bigint, x binary").withColumn("f", F.when(F.col("x").isNotNull(), F.xxhash64("x"))))
+    classes = every.filter("x IS NOT NULL").groupBy("f").agg(F.min("k").alias("c"), F.count(F.lit(1)).alias("m"))
+    shape = every.filter("x IS NOT NULL").select("f", "x", F.length("x").alias("size"), F.col("k").alias("c"))
+    reps = shape.join(classes, ["f", "c"]).dropDuplicates(["f"])
     sizes = [r["size"] for r in reps.select("size").distinct().orderBy("size").collect()]
     counts = links = None
     for size in sizes:
-        found = _found(reps.filter(F.col("size") == size).select("id", "m", "x"))
+        found = _found(reps.filter(F.col("size") == size).select(F.col("f").alias("id"), "m", "x"))
         n, e = found.filter("v IS NULL").select("u", "n"), found.filter("v IS NOT NULL").select("u", "v")
         counts, links = (n, e) if counts is None else (counts.unionByName(n), links.unionByName(e))
     if counts is None:
         alone = F.when(F.col("k") != top, F.col("k"))
         return every.select(alone.alias(key), F.lit(0).cast("long").alias("n_links"), alone.alias("component_id"), F.lit(True).alias("kept"))
-    of = classes.join(counts.groupBy("u").agg(F.sum("n").alias("n")), F.col("id") == F.col("u"), "left").drop("u")
-    of = of.join(components(links), F.col("id") == F.col("node"), "left")
-    of = of.select("f", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
+    of = classes.join(counts.groupBy("u").agg(F.sum("n").alias("n")), F.col("f") == F.col("u"), "left").drop("u")
+    of = checkpoint(of.join(components(links), F.col("f") == F.col("node"), "left").select("f", "c", "m", "n", "component"))
+    least = of.filter("component IS NOT NULL").groupBy("component").agg(F.min("c").alias("low"))
+    of = of.join(least, "component", "left")
+    of = of.select("f", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("low", "c").alias("c"))
     out = every.select("k", "f").join(of, "f", "left").withColumn("c", F.coalesce("c", "k"))
     shown = lambda c: F.when(F.col(c) != top, F.col(c))
     return out.select(shown("k").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), shown("c").alias("component_id"), (F.col("k") == F.col("c")).alias("kept"))

@@ -151,6 +151,16 @@ def test_lattice(spark):
     assert all(got[k] == (0, k, True) for k in (900, 901, 902, 903))
 
 
+def test_lattice_unlike_rows_of_a_key(spark):
+    """Vectors 1 and 2 are each near one of two unlike vectors without a key; 7 is the key of two unlike ones."""
+    e = np.eye(16)
+    near = lambda i, j: (e[i] + 0.1 * e[j]).tolist()
+    rows = [(1, near(0, 8)), (None, near(0, 9)), (2, near(1, 8)), (None, near(1, 9)), (None, e[2].tolist()), (7, near(3, 8)), (6, near(3, 9)), (7, near(4, 8)), (8, near(4, 9)), (9, near(4, 9)), (None, None)]
+    got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    want = [(1, 1, 1, True), (None, 1, 1, False), (2, 1, 2, True), (None, 1, 2, False), (None, 0, None, True), (7, 1, 6, False), (6, 1, 6, True), (7, 2, 7, True), (8, 2, 7, False), (9, 2, 7, False), (None, 0, None, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_minhash(spark, docs):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()), key=str)
     sets = []
