@@ -1,7 +1,7 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
 Documents are gathered into shards of up to SHARD words, whole documents always. Each shard gets the suffix array of
-its words (to a depth of DEPTH words, past the window), and every suffix of the benchmark is looked up in it by binary
+its words (to a depth of DEPTH words, or the window if that's more), and every suffix of the benchmark is looked up in it by binary
 search. That gives all places of each window and, by extending them, the longest verbatim matches.
 
 Nothing is shuffled. The benchmark is read by the driver and sent to the tasks in blocks of up to BENCHMARK_BLOCK
@@ -140,7 +140,7 @@ def match_shard(texts: list[str | None], bench: Benchmark) -> list[tuple[int, li
     if not len(todo) or not len(known):
         return none
     start, length, item = bench.start[todo], bench.length[todo], bench.item[todo]
-    sa = suffix_array(rank)
+    sa = suffix_array(rank, max(DEPTH, int(length.max())))
     lo, hi = _search(rank, sa, query, start, length)
     some = np.flatnonzero(hi > lo)
     if not len(some):

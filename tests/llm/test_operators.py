@@ -128,6 +128,14 @@ def test_decontamination(spark, docs):
     assert decontam.find_benchmark(docs.limit(0), bench).count() == 0
 
 
+def test_windows_longer_than_the_usual_depth():
+    lead = " ".join(f"a{k}" for k in range(16))
+    texts = [f"{lead} {' '.join(f'b{(7 * i) % 9}{k}' for k in range(4))}" for i in range(9)]
+    for item in texts:
+        got = decontam.match_shard(texts, decontam.Benchmark([("x", item)], 20))
+        assert [f[1] for f in got] == [[0, 20] if t == item else [] for t in texts]
+
+
 def test_suffix_array():
     rank = np.random.default_rng(0).integers(1, 4, 500)
     got = decontam.suffix_array(rank, 512)
