@@ -58,7 +58,7 @@ def _folder(spark: SparkSession) -> str:
 
 STAGES = [("quality", good), ("near-dedup", unique), ("decontamination", unseen), ("pii", private), ("bpe", tokens)]
 
-#: Stages learn from data, which SQL can't express; tests hold them against brute force.
+#: Stages learn from data, which SQL can't express; tests/test_pipeline.py holds them and run() against brute force.
 ORACLE_SQL = None
 
 
