@@ -1,16 +1,18 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
 Documents are gathered into shards of up to SHARD words, whole documents always. Each shard gets the suffix array of
-its words (to a depth of DEPTH words, or the window if that's more), and every suffix of the benchmark is looked up in it by binary
-search. That gives all places of each window and, by extending them, the longest verbatim matches.
+its words (to a depth of DEPTH words, or the window if that's more), and every suffix of the benchmark is looked up in
+it by binary search. That gives all places of each window and, by extending them, the longest verbatim matches. Words
+are numbered by the benchmark's vocabulary: found by a hash, then compared byte by byte, so matches are exact. All
+words that the benchmark lacks share one number.
 
 Nothing is shuffled. The benchmark is read by the driver and sent to the tasks in blocks of up to BENCHMARK_BLOCK
-bytes of text; a larger benchmark takes a pass over the documents for each block.
+bytes of text, one at a time; a larger benchmark takes a pass over the documents, written between, for each block.
 """
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from interfera.llm.store import small_batches, table, tidy
-from interfera.llm.words import ALNUM, runs, words
+from interfera.llm.store import checkpoint, small_batches, table, tidy
+from interfera.llm.words import ALNUM, runs, same, words
 
 WINDOW = 10
-SHARD = 1 << 20
+SHARD = 1 << 19
 DEPTH = 16
-BENCHMARK_BLOCK = 32 << 20
+BENCHMARK_BLOCK = 8 << 20
 
 
 def suffix_array(rank: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -62,16 +64,21 @@ def suffix_array(rank: np.ndarray, depth: int = DEPTH) -> np.ndarray:
 
 
 class Benchmark:
-    """The suffixes of the items: word hashes laid out with one 0 after each item, and each item's windows."""
+    """The suffixes of the items: word numbers laid out with one 0 after each item, and each item's windows. Words are
+    numbered from 1 in the order of ``known``, their hashes; ``first`` holds a place of each in ``words``."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
-        w = words([t for _, t in items], ALNUM)
+        for self.seed in itertools.count():  # with a seed that tells all its words apart
+            self.words = w = words([t for _, t in items], ALNUM, self.seed)
+            self.known, self.first, number = np.unique(w.hash, return_index=True, return_inverse=True)
+            if same(w, np.arange(len(w.hash)), w, self.first[number]).all():
+                break
         self.names = [str(i) for i, _ in items]
-        hashes, start, length, item, at = [], [], [], [], 0
+        ranks, start, length, item, at = [], [], [], [], 0
         for k in range(len(items)):
-            h = w.hash[w.first[k] : w.first[k + 1]]
+            h = number[w.first[k] : w.first[k + 1]] + 1
             n = len(h)
-            hashes += [h, np.zeros(1, np.uint64)]
+            ranks += [h, np.zeros(1, np.int64)]
             if n:
                 size = min(n, window)
                 start.append(at + np.arange(n - size + 1))
@@ -79,7 +86,7 @@ class Benchmark:
                 item.append(np.full(n - size + 1, k))
             at += n + 1
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        self.hash = join(hashes, np.uint64)
+        self.rank = join(ranks, np.uint64)
         self.start, self.length, self.item = join(start, np.int64), join(length, np.int64), join(item, np.int64)
 
 
@@ -121,23 +128,26 @@ def _equal(rank: np.ndarray, p: np.ndarray, query: np.ndarray, q: np.ndarray, n:
 def match_shard(texts: list[str | None], bench: Benchmark) -> list[tuple[int, list[int], list[str], int, int]]:
     """For each text: its words, the ranges of words hit (start, end, start, end ...), the items with a window in it,
     and the longest match's words and first word."""
-    w = words(texts, ALNUM)
+    w = words(texts, ALNUM, bench.seed)
     count = np.diff(w.first)
     first = w.first[:-1] + np.arange(len(texts))  # places when a 0 follows each text
     doc = np.repeat(np.arange(len(texts)), count)
     place = np.arange(len(w.hash)) + doc
-    known = np.unique(w.hash)
+    known = bench.known
+    found = np.minimum(np.searchsorted(known, w.hash), len(known) - 1)
+    some = np.flatnonzero(known[found] == w.hash) if len(known) else np.zeros(0, np.int64)
+    some = some[same(w, some, bench.words, bench.first[found[some]])]
     rank = np.zeros(len(w.hash) + len(texts), dtype=np.uint64)
-    rank[place] = np.searchsorted(known, w.hash) + 1
-    found = np.searchsorted(known, bench.hash)
-    found[found == len(known)] = 0
-    query = np.where((known[found] == bench.hash) if len(known) else np.zeros(len(bench.hash), bool), found + 1, 0).astype(np.uint64)
-    query[bench.hash == 0] = 0
+    rank[place] = len(known) + 1
+    rank[place[some]] = found[some] + 1
+    present = np.zeros(len(known) + 2, dtype=bool)
+    present[rank.astype(np.int64)] = True
+    query = np.where(present[bench.rank.astype(np.int64)], bench.rank, 0)
     # a suffix with an unknown word before its window ends is in no text
     unknown = np.concatenate([[0], np.cumsum(query == 0)])
     todo = np.flatnonzero(unknown[bench.start + bench.length] == unknown[bench.start])
     none = [(int(n), [], [], 0, -1) for n in count]
-    if not len(todo) or not len(known):
+    if not len(todo) or not len(some):
         return none
     start, length, item = bench.start[todo], bench.length[todo], bench.item[todo]
     sa = suffix_array(rank, max(DEPTH, int(length.max())))
@@ -185,15 +195,17 @@ def match_shard(texts: list[str | None], bench: Benchmark) -> list[tuple[int, li
     return [(int(n), edge[cut[d] : cut[d + 1]].reshape(-1).tolist(), sorted(set().union(*[by_range[g] for g in items[d]])) if d in items else [], *best.get(d, (0, -1))) for d, n in enumerate(count)]
 
 
-def _blocks(benchmark: DataFrame, window: int) -> list:
-    """Broadcasts of the benchmark, each of at most about BENCHMARK_BLOCK bytes of text."""
+def _blocks(benchmark: DataFrame, window: int) -> Iterator[tuple]:
+    """Broadcasts of the benchmark, each of at most about BENCHMARK_BLOCK bytes of text and made when it's asked for,
+    and whether it is the last."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // BENCHMARK_BLOCK))
     part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
     small_batches(benchmark.sparkSession)
     sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast(Benchmark([tuple(r) for r in rows.filter(part == b).collect()], window)) for b in range(n)]
+    for b in range(n):
+        yield sc.broadcast(Benchmark([tuple(r) for r in rows.filter(part == b).collect()], window)), b + 1 == n
 
 
 def _shards(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -241,7 +253,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     rows = docs.select(F.col(key).alias("k"), docs[text].cast("string").alias("t"))
     state = "n bigint, ranges array<bigint>, items array<string>, longest bigint, at bigint"
     kind = rows.dtypes[0][1]
-    for b, block in enumerate(_blocks(benchmark, window)):
+    for b, (block, last) in enumerate(_blocks(benchmark, window)):
 
         def step(batches: Iterator[pa.RecordBatch], block=block, first=b == 0) -> Iterator[pa.RecordBatch]:
             for batch, texts in _shards(batches, 1):
@@ -253,20 +265,30 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["k", "t", "n", "ranges", "items", "longest", "at"])
 
         rows = rows.mapInArrow(tidy(step), f"k {kind}, t string, {state}")
+        if not last:
+            rows = checkpoint(rows)
+            block.unpersist()
     n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, x: x - a)  # ends less starts, for an even number
     return rows.select(F.col("k").alias(key), F.col("n").alias("n_words"), n_hit.alias("n_hit"), "items", F.col("longest").alias("longest_match"), F.col("at").alias("longest_at"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """The documents without any window of the benchmark, all columns as they were."""
+    """The documents without any window of the benchmark, all columns as they were.
+
+    Null, empty and wordless texts hold none and stay. Keys aren't read: each row is judged by its own text, so repeated
+    rows stay or go alike. Of an empty table nothing is left, of an empty benchmark nothing removes.
+    """
     at = docs.columns.index(text)
-    for block in _blocks(benchmark, window):
+    for block, last in _blocks(benchmark, window):
 
         def step(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch, texts in _shards(batches, at):
                 yield batch.filter(pa.array([not f[1] for f in match_shard(texts, block.value)], pa.bool_()))
 
         docs = docs.mapInArrow(tidy(step), docs.schema)
+        if not last:
+            docs = checkpoint(docs)
+            block.unpersist()
     return docs
 
 

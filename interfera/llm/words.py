@@ -5,6 +5,7 @@ Every code point from U+0080 on is made of bytes from 0x80 on, so both word rule
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,8 @@ ALNUM = ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 97) & (_BYTES <= 122)) |
 SOLID = ~((_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13)))
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 1 << 20
+#: Words of more bytes are hashed one by one.
+_LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,23 +32,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = int(_BASE)
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(n, b, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-_POWERS: tuple[np.ndarray, np.ndarray] | None = None
-
-
 @dataclass
 class Words:
     """Words of texts joined into ``data``: word i is data[start[i]:end[i]]; text k has words first[k]:first[k + 1]."""
@@ -57,9 +42,15 @@ class Words:
     first: np.ndarray
     hash: np.ndarray
 
+    def word(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.end[i]]
+
+
+def words(texts: list[str | None], rule: np.ndarray, seed: int = 0) -> Words:
+    """Splits lower-cased (A-Z only) texts into the longest runs of bytes for which ``rule`` holds; None has none.
 
-def words(texts: list[str | None], rule: np.ndarray) -> Words:
-    """Splits lower-cased (A-Z only) texts into the longest runs of bytes for which ``rule`` holds; None has none."""
+    Words are hashed with the seed; the hash of a word is never 0.
+    """
     raw = [(t or "").encode() for t in texts]
     data = b"\n".join(raw).translate(_LOWER)
     buf = np.frombuffer(data, dtype=np.uint8)
@@ -69,26 +60,52 @@ def words(texts: list[str | None], rule: np.ndarray) -> Words:
     start, end = edge[0::2], edge[1::2]
     at = np.zeros(len(raw) + 1, dtype=np.int64)
     np.cumsum([len(r) + 1 for r in raw], out=at[1:])
-    return Words(data, start, end, np.searchsorted(start, at), _hashes(buf, start, end))
-
-
-def _hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hashes from prefix sums, by blocks of whole words."""
-    global _POWERS
-    out = np.empty(len(start), dtype=np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + _BLOCK, side="right")))
-        lo, hi = int(start[i]), int(end[j - 1])
-        if _POWERS is None or len(_POWERS[0]) < hi - lo:
-            _POWERS = _powers(max(_BLOCK, hi - lo))
-        power, inverse = _POWERS
-        total = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum(_VALUE[buf[lo:hi]] * power[: hi - lo], out=total[1:])
-        s = start[i:j] - lo
-        out[i:j] = (total[end[i:j] - lo] - total[s]) * inverse[s]
-        i = j
-    return mix(out)
+    return Words(data, start, end, np.searchsorted(start, at), _hashes(data, start, end, seed))
+
+
+def lanes(data: bytes) -> np.ndarray:
+    """At each place, the next eight bytes as an integer; zeros follow the end."""
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=data + bytes(8), strides=(1,))
+
+
+def lane(of: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Bytes 8k to 8k + 7 of words that have more than 8k bytes, as an integer; zeros follow the word's end."""
+    x = of[start + 8 * k]
+    rest = size - 8 * k
+    cut = np.flatnonzero(rest < 8)
+    x[cut] &= (np.uint64(1) << (8 * rest[cut]).astype(np.uint64)) - np.uint64(1)
+    return x
+
+
+def _hashes(data: bytes, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """Eight bytes at a time, each step through a bijection; long words by a keyed digest."""
+    of, size = lanes(data), end - start
+    out = mix(size.astype(np.uint64) * _BASE + np.uint64(seed))
+    todo, k = np.flatnonzero(size <= _LONG), 0
+    while len(todo):
+        out[todo] = mix((out[todo] ^ lane(of, start[todo], size[todo], k)) * _BASE + np.uint64(k + 1))
+        k += 1
+        todo = todo[size[todo] > 8 * k]
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, key=key).digest(), "little")
+    out[out == 0] = 1
+    return out
+
+
+def same(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """Whether words i of a and words j of b, pair by pair, have the same bytes."""
+    size = a.end[i] - a.start[i]
+    out = size == b.end[j] - b.start[j]
+    left, right, k = lanes(a.data), lanes(b.data), 0
+    todo = np.flatnonzero(out & (size <= _LONG))
+    while len(todo):
+        out[todo] = lane(left, a.start[i[todo]], size[todo], k) == lane(right, b.start[j[todo]], size[todo], k)
+        k += 1
+        todo = todo[out[todo] & (size[todo] > 8 * k)]
+    for n in np.flatnonzero(out & (size > _LONG)).tolist():
+        out[n] = a.word(i[n]) == b.word(j[n])
+    return out
 
 
 def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
