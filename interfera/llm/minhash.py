@@ -1,19 +1,25 @@
 """Near duplicates by circulant MinHash.
 
-A document's set of 5-word shingles is hashed to places 0 to D - 1 (the first permutation); coordinate k of its
-signature is the least value that the second permutation, shifted circularly by k, gives any of them. The coordinates
-are cut into bands, and documents that agree on a band are candidates, confirmed on their full sets.
-
-Documents with the same set are one class from the start; of each class one is compared, so exact copies cost nothing
-more. Classes that share bands, directly or not, are a family. A family is cut into blocks of about BLOCK shingles;
-a task gets two blocks, or one, confirms the pairs that share a band, and returns a spanning forest of the links. So
-no task gets a whole family and no pairs are written, though a family's tasks grow with the square of its blocks.
+A document's set of 5-word shingles is hashed to places on a circle of 2^32 (the first permutation); coordinate k of
+its signature is the least value that the second permutation, a bijection of these places shifted circularly by k,
+gives any of them. The coordinates are cut into bands, and documents that agree on a band are candidates, confirmed on
+their full sets of 64-bit shingle hashes.
+
+Documents with the same set (by a digest of 128 bits) are one class from the start; of each class one is compared, so
+exact copies cost nothing more. Classes that share bands, directly or not, are a family. A family is cut into blocks
+of about BLOCK shingles; a task gets two blocks, or one, confirms the pairs that share a band and aren't known to be
+connected, and returns a spanning forest of the links. So no task gets a whole family and no pairs are written.
+
+A family of more than FEW blocks isn't compared block by block at first, which would grow with its square. Each class
+is compared with the first one of each of its bands, which connects most of a large group of near copies. What is then
+not yet one component in some band is compared in blocks, where large components have blocks of their own that aren't
+compared with each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +35,9 @@ SHINGLE = 5
 PERCENT = 75
 #: 50 bands of 5: two sets of similarity 0.75 share no band with a chance of 1.3e-6.
 BANDS, ROWS = 50, 5
-PLACES = 1 << 20
-#: Shingles of a block.
-BLOCK = 1 << 20
-_BYTES = 2 << 20
-
-
-@cache
-def _second(coordinates: int) -> np.ndarray:
-    """A permutation of the places, continued past its end; row i of the view holds the values of place i by shift."""
-    p = np.random.default_rng(20).permutation(PLACES).astype(np.int32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([p, p[: coordinates - 1]]), coordinates)
+#: Shingles of a block, and blocks of a family that are compared with each other at once.
+BLOCK, FEW = 1 << 19, 4
+_BYTES = 1 << 20
 
 
 def shingles(texts: list[str | None]) -> list[np.ndarray]:
@@ -68,11 +66,22 @@ def shingles(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
+def _second(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit integers, in place."""
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x7FEB352D)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x846CA68B)
+    x ^= x >> np.uint32(16)
+    return x
+
+
 def signature(shingle: np.ndarray, coordinates: int = BANDS * ROWS) -> np.ndarray:
-    view, place = _second(coordinates), mix(shingle ^ np.uint64(0xA0761D6478BD642F)) & np.uint64(PLACES - 1)
-    out = view[place[:2048].astype(np.int64)].min(axis=0)
-    for i in range(2048, len(place), 2048):
-        np.minimum(out, view[place[i : i + 2048].astype(np.int64)].min(axis=0), out=out)
+    place = (mix(shingle ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.uint32)
+    shift = np.arange(coordinates, dtype=np.uint32)
+    out = np.full(coordinates, (1 << 32) - 1, dtype=np.uint32)
+    for i in range(0, len(place), 128):
+        np.minimum(out, _second(place[i : i + 128, None] + shift).min(axis=0), out=out)
     return out
 
 
@@ -86,16 +95,15 @@ def bands(shingle: np.ndarray) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, kind: str) -> DataFrame:
-    """rows: k, t. Returns k, f (the set's identity, a 64-bit sum of hashes; null for an empty set) and, with kind
-    "bands", n and bands; with "set", set."""
+    """rows: k, t. Returns k, f (the set's digest; null for an empty set) and, with kind "bands", n and bands; with
+    "set", set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, j in runs([len(t) if t else 0 for t in texts], _BYTES):
                 sets = shingles(texts[i:j])
-                identity = [int(mix(s ^ np.uint64(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
-                columns = [batch.column(0).slice(i, j - i), pa.array(identity, pa.int64())]
+                columns = [batch.column(0).slice(i, j - i), pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())]
                 if kind == "set":
                     names = ["k", "f", "set"]
                     columns.append(pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())))
@@ -105,7 +113,7 @@ def _sets(rows: DataFrame, kind: str) -> DataFrame:
                     columns.append(pa.array([bands(s).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(tidy(run), "k bigint, f bigint, set array<bigint>" if kind == "set" else "k bigint, f bigint, n bigint, bands array<bigint>")
+    return rows.mapInArrow(tidy(run), "k bigint, f binary, " + ("set array<bigint>" if kind == "set" else "n bigint, bands array<bigint>"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,54 +130,96 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(top)).alias("k"), F.col(text).cast("string").alias("t"))
     every = checkpoint(_sets(rows, "bands"))
-    classes = every.filter("n > 0").groupBy("f").agg(F.min("k").alias("c"))
+    # a class is named by its row's number, as keys may repeat
+    classes = checkpoint(every.filter("n > 0").groupBy("f").agg(F.min("k").alias("k")).withColumn("id", F.monotonically_increasing_id()))
     # of each class, a row of the smallest key stands for it
-    marked = every.select("k", "f", "n", "bands").join(classes.select(F.col("c").alias("k"), "f"), ["k", "f"], "left_semi").dropDuplicates(["k", "f"])
-    found = components(_links(marked, rows)).select(F.col("node").alias("f"), F.col("component").alias("root"))
-    joined = classes.join(found, "f")
-    least = joined.groupBy("root").agg(F.min("c").alias("component"))
-    reached = classes.join(joined.select("f", "root").join(least, "root"), "f", "left").select("f", F.coalesce("component", "c").alias("component"))
-    out = every.join(reached, "f", "left").withColumn("component", F.coalesce("component", "k"))
+    marked = every.join(classes, ["k", "f"]).select("id", "k", "f", "n", "bands").dropDuplicates(["id"])
+    found = components(_links(marked, rows))
+    joined = classes.join(found.select(F.col("node").alias("id"), F.col("component").alias("root")), "id")
+    least = joined.groupBy("root").agg(F.min("k").alias("component"))
+    reached = classes.join(joined.select("id", "root").join(least, "root"), "id", "left").select("f", F.coalesce("component", "k").alias("component"))
+    out = every.select("k", "f", "n").join(reached, "f", "left").withColumn("component", F.coalesce("component", "k"))
     shown = lambda c: F.when(F.col(c) != top, F.col(c))
     return out.select(shown("k").alias(key), F.col("n").alias("n_shingles"), shown("component").alias("component_id"), (F.col("k") == F.col("component")).alias("kept"))
 
 
 def _links(classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Confirmed links u, v between classes that connect all that is connected. classes: f (its set's identity), k (a
-    key with that set) and bands of each."""
-    keyed = classes.select(F.col("f").alias("k"), F.explode("bands").alias("b"))
-    count = keyed.groupBy("b").agg(F.count(F.lit(1)).alias("size"), F.min("k").alias("low")).filter("size > 1")
-    family = components(keyed.join(count, "b").select(F.col("low").alias("u"), F.col("k").alias("v")))
-    family = checkpoint(family.join(classes.select(F.col("f").alias("node"), F.col("k").alias("doc"), "n", "bands"), "node"))
-    parts = family.groupBy("component").agg(F.sum("n").alias("all")).select("component", F.ceil(F.col("all") / BLOCK).cast("int").alias("parts"))
-
-    wanted = family.select(F.col("doc").alias("k")).distinct()
-    sets = _sets(rows.join(small(wanted, wanted.count()), "k", "left_semi"), "set").select(F.col("f").alias("node"), "set")
-    held = family.select("node", "component", "bands").join(parts, "component").join(sets.dropDuplicates(["node"]), "node")
-    held = held.withColumn("p", F.expr("cast(pmod(xxhash64(node), parts) AS int)"))
-    # block p meets each block after it, and itself
-    met = held.select("*", F.explode(F.expr("sequence(0, parts - 1)")).alias("q"))
-    met = met.select("component", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), F.col("p"), F.col("node").alias("k"), "bands", "set")
-    return met.groupBy("component", "i", "j").applyInArrow(_confirm, "u bigint, v bigint")
+    """Confirmed links u, v between classes that connect all that is connected. classes: id, k (a key with that set),
+    f (the set's digest), n and bands of each."""
+    family = checkpoint(_families(classes).join(classes, "id"))
+    parts = family.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    wanted = family.select("k").distinct()
+    sets = _sets(rows.join(small(wanted, wanted.count()), "k", "left_semi"), "set")
+    # other texts of the same key have other digests
+    sets = checkpoint(sets.join(family.select("id", "f"), "f").select("id", "set").dropDuplicates(["id"]))
+    sized = family.join(parts, "component")
+    ordinary = sized.filter(F.col("parts") <= FEW).withColumn("root", F.col("id")).select("component", "id", "root", "n", "bands")
+    if not parts.filter(F.col("parts") > FEW).take(1):
+        return checkpoint(_in_blocks(ordinary, sets))
+    large = sized.filter(F.col("parts") > FEW)
+    stars = checkpoint(_stars(large, sets))
+    known = components(stars).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    rooted = checkpoint(large.join(known, "id", "left").select("id", "n", "bands", F.coalesce("root", "id").alias("root")))
+    rest = _families(rooted).join(rooted, "id").select("component", "id", "root", "n", "bands")
+    return stars.unionByName(checkpoint(_in_blocks(ordinary, sets))).unionByName(checkpoint(_in_blocks(rest, sets)))
+
+
+def _families(classes: DataFrame) -> DataFrame:
+    """id and component of the classes that are connected by shared bands. With ``root``, bands whose classes all have
+    the same root don't count."""
+    root = F.col("root") if "root" in classes.columns else F.col("id")
+    keyed = classes.select("id", root.alias("root"), F.explode("bands").alias("b"))
+    shared = keyed.groupBy("b").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("id").alias("u")).filter("low < high")
+    return components(keyed.join(shared, "b").select("u", F.col("id").alias("v"))).select(F.col("node").alias("id"), "component")
+
+
+def _stars(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links u, v between each class and the first one of each of its bands, where their sets confirm them."""
+    keyed = classes.select("id", "n", F.explode("bands").alias("b"))
+    first = keyed.groupBy("b").agg(F.min(F.struct("id", "n")).alias("first")).select("b", F.col("first.id").alias("u"), F.col("first.n").alias("m"))
+    pairs = keyed.join(first, "b").filter((F.col("id") != F.col("u")) & (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m"))).select("u", F.col("id").alias("v")).distinct()
+    both = pairs.join(sets.select(F.col("id").alias("v"), F.col("set").alias("y")), "v").join(sets.select(F.col("id").alias("u"), F.col("set").alias("x")), "u")
+    both = both.select("u", "v", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("c"))
+    return both.filter(100 * F.col("c") >= PERCENT * (F.col("m") + F.col("n") - F.col("c"))).select("u", "v")
+
+
+def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links u, v that connect all that is connected, beside what members of one root are already. members: component
+    (the family), id, root, n, bands."""
+    by_root = members.groupBy("component", "root").agg(F.sum("n").alias("all"))
+    by_root = by_root.select("component", "root", F.when(F.col("all") >= BLOCK, F.col("root")).otherwise(-1).alias("owner"), "all")
+    parts = by_root.groupBy("component", "owner").agg(F.ceil(F.sum("all") / BLOCK).cast("int").alias("parts"))
+    # a root of a block or more has blocks of its own; the others of a family share blocks
+    placed = members.join(by_root.select("component", "root", "owner"), ["component", "root"]).join(parts, ["component", "owner"])
+    placed = placed.select("component", "owner", F.expr("cast(pmod(xxhash64(id), parts) AS int)").alias("p"), "id", "root", "bands")
+    block = parts.select("component", "owner", F.explode(F.expr("sequence(0, parts - 1)")).alias("p"))
+    one, two = (block.select("component", F.struct("owner", "p").alias(c)) for c in "ij")
+    meet = one.join(two, "component").filter("i < j OR (i = j AND i.owner = -1)").filter("i.owner <> j.owner OR i.owner = -1")
+    sides = meet.select("*", F.explode(F.expr("CASE WHEN i = j THEN array(i) ELSE array(i, j) END")).alias("at"))
+    got = sides.join(placed, (sides["component"] == placed["component"]) & (sides["at.owner"] == placed["owner"]) & (sides["at.p"] == placed["p"]))
+    got = got.select(sides["component"], "i", "j", (F.col("at") == F.col("i")).alias("left"), (F.col("at") == F.col("j")).alias("right"), "id", "root", "bands")
+    return got.join(sets, "id").groupBy("component", "i", "j").applyInArrow(_confirm, "u bigint, v bigint")
 
 
 def _confirm(block: pa.Table) -> pa.Table:
     """Of two blocks i and j of a family, or one, a spanning forest of the links: pairs that share a band, confirmed on
     their sets if they aren't known to be connected."""
-    i, j = block["i"][0].as_py(), block["j"][0].as_py()
-    names, part = block["k"].to_numpy(), block["p"].to_numpy()
+    names = block["id"].to_numpy()
     size = np.array([len(x) for x in block["set"]], dtype=np.int64)
     flat = block["set"].combine_chunks().values.to_numpy(zero_copy_only=False)
     band = block["bands"].combine_chunks().values.to_numpy(zero_copy_only=False).reshape(len(names), BANDS)
     _, place = np.unique(flat, return_inverse=True)
     first = np.cumsum(size) - size
-    left = np.flatnonzero(part == i)
-    others = np.flatnonzero(part == j)
+    left, others = (np.flatnonzero(block[c].to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+    alone = len(left) == len(names) == len(others)
     has = np.zeros(int(place.max(initial=-1)) + 1, dtype=bool)
-    root = np.arange(len(names))  # of each row, a row that it's connected with; all of a tree have the same
+    known, root = np.unique(block["root"].to_numpy(), return_inverse=True)  # of each row, the tree that it's in
+    trees = len(known)
     found: list[tuple[int, int]] = []
     for at, u in enumerate(left):
-        right = others[at + 1 :] if i == j else others
+        if trees == 1:
+            break
+        right = others[at + 1 :] if alone else others
         right = right[root[right] != root[u]]
         low, high = np.minimum(size[right], size[u]), np.maximum(size[right], size[u])
         right = right[100 * low >= PERCENT * high]
@@ -178,8 +228,10 @@ def _confirm(block: pa.Table) -> pa.Table:
             continue
         mine = place[first[u] : first[u] + size[u]]
         has[mine] = True
-        for k in range(0, len(right), 1024):
-            some = right[k : k + 1024]
+        k = 16  # a few at first, as one link may make the others known
+        while len(right):
+            some, right = right[:k], right[k:]
+            k = min(4 * k, 1024)
             n = size[some]
             starts = np.cumsum(n) - n
             index = np.arange(n.sum()) + np.repeat(first[some] - starts, n)
@@ -187,7 +239,9 @@ def _confirm(block: pa.Table) -> pa.Table:
             for v in some[100 * common >= PERCENT * (n + size[u] - common)].tolist():
                 if root[v] != root[u]:
                     root[root == root[v]] = root[u]
+                    trees -= 1
                     found.append((int(names[u]), int(names[v])))
+            right = right[root[right] != root[u]]
         has[mine] = False
     return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
