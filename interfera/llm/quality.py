@@ -110,13 +110,18 @@ def _apply(docs: DataFrame, key: str, text: str, value, schema: str, names: list
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Fits on at most ``sample`` labelled rows, the first by a digest of the key; null labels are left out."""
+    """Fits on at most ``sample`` labelled keys, the first by a digest of the key; null keys and labels are left out.
+
+    Of a key's labels the smallest counts, of its documents the one whose text has the smallest digest (null last), so
+    the model doesn't depend on chance. Without documents or labels of both kinds nothing is learned: see ``fit``.
+    """
     chosen = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k IS NOT NULL AND y IN (0, 1)")
-    chosen = chosen.orderBy(F.xxhash64("k"), "k", "y").limit(sample)
+    chosen = chosen.groupBy("k").agg(F.min("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
     # bounded by ``sample`` rows
-    some = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "k").select("k", "t", "y")
+    some = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "k")
+    some = some.groupBy("k", "y").agg(F.min_by("t", F.struct(F.col("t").isNull(), F.sha2("t", 256))).alias("t")).select("k", "t", "y")
     found = _apply(some, "k", "t", lambda x, part: [x.tolist(), part.column(2)], "x array<double>, y int", ["x", "y"], [pa.list_(pa.float64()), pa.int32()])
-    rows = sorted(found.limit(4 * sample).collect(), key=lambda r: (r["k"], r["y"], r["x"]))
+    rows = sorted(found.collect(), key=lambda r: r["k"])  # ``sample`` rows at most
     x = np.array([r["x"] for r in rows]).reshape(len(rows), FEATURES)
     return fit(x, np.array([r["y"] for r in rows], dtype=int))
 
@@ -154,7 +159,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:
-    """The rows at or over the cut, all columns as they were; the cut is the same as that of ``score``."""
+    """The rows at or over the cut, all columns as they were; the cut is the same as that of ``score``.
+
+    Null and empty texts have zero features and are judged as any others. Keys aren't read, so repeated rows stay or go
+    alike; of an empty table nothing is left.
+    """
     weights, cut = model
     at = docs.columns.index(text)
     small_batches(docs.sparkSession)
