@@ -19,6 +19,9 @@ from interfera.llm.store import table
 SEED = "interleave-1"
 #: Bins of a source, by three hexadecimal digits of the digest.
 BINS = 4096
+#: Rows alike in source, key, checksum and size that stay in one bin. There are at most 1 / MANY as many groups of more
+#: rows as rows, so these groups (50 bytes each) are broadcast.
+MANY = 100_000
 #: Stretches of the order by fractional rank.
 CUTS = 4096
 
@@ -36,13 +39,20 @@ def interleave(docs: DataFrame, shards: int, seed: str = SEED, source: str = "so
     size; rows that are alike in all of them stand next to each other and get different slots. An empty table gives
     none. Other columns are ignored, whatever their names.
     """
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
-    keyed = docs.select(F.col(key).alias("k"), _stratum(source).alias("s"), digest.alias("d"), F.col(text).cast("string").alias("t")).withColumn("b", F.substring("d", 1, 3))
+    t = F.col(text).cast("string")
+    facts = [(F.coalesce(F.octet_length(t), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32(t.cast("binary")), F.lit(0)).cast("long").alias("crc")]
+    keyed = docs.select(F.col(key).alias("k"), _stratum(source).alias("s"), *facts)
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("k").cast("string"), F.lit("")), F.col("crc"), F.col("size")).cast("binary"))
+    keyed = keyed.withColumn("d", digest)
+    # rows that are alike in all, which may be many, are dealt over bins by their place in the table
+    times = keyed.groupBy("s", "d").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MANY).select("s", "d", F.lit(True).alias("many"))
+    keyed = keyed.withColumn("at", F.monotonically_increasing_id()).join(F.broadcast(times), ["s", "d"], "left")
+    keyed = keyed.withColumn("d", F.when(F.col("many"), F.md5(F.concat_ws(":", "d", "at").cast("binary"))).otherwise(F.col("d"))).withColumn("b", F.substring("d", 1, 3))
     size = keyed.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("s").orderBy("b")
     offset = size.withColumn("o", F.sum("n").over(before.rowsBetween(W.unboundedPreceding, -1))).withColumn("ns", F.sum("n").over(W.partitionBy("s")))
     offset = offset.select("s", "b", F.coalesce("o", F.lit(0)).alias("o"), "ns")
-    rows = keyed.select("k", "s", "b", "d", (F.coalesce(F.octet_length("t"), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32(F.col("t").cast("binary")), F.lit(0)).cast("long").alias("crc"))
+    rows = keyed.select("k", "s", "b", "d", "size", "crc")
     order = W.partitionBy("s", "b").orderBy("d", "k", "crc", "size")
     ranked = rows.withColumn("r", F.row_number().over(order)).join(offset, ["s", "b"]).withColumn("r", (F.col("r") + F.col("o")).cast("long"))
     ranked = ranked.withColumn("c", F.expr(f"((2 * r - 1) * {CUTS}) div (2 * ns)"))
