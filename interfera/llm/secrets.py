@@ -125,23 +125,52 @@ def trigrams(query: Query) -> set[str]:
     return set() if query is True else {query[1]} if query[0] == "has" else set().union(*(trigrams(q) for q in query[1:]))
 
 
-def _holds(query: Query, has: str) -> Column:
+_BITS = 62
+
+
+def _has(at: int) -> Column:
+    """Whether the document has trigram number ``at``, by the bits that ``answer`` gathers."""
+    return F.col(f"bits{at // _BITS}").bitwiseAND(F.lit(1 << at % _BITS)) != 0
+
+
+def _holds(query: Query, number: dict[str, int]) -> Column:
     if query is True:
         return F.lit(True)
     if query[0] == "has":
-        return F.array_contains(has, query[1])
+        return _has(number[query[1]])
     out = None
     for q in query[1:]:
-        x = _holds(q, has)
+        x = _holds(q, number)
         out = x if out is None else (out & x) if query[0] == "and" else (out | x)
     return out
 
 
-def postings(docs: DataFrame, wanted: set[str], key: str, text: str) -> DataFrame:
-    """The index: a row (trigram, key) for each document that has the trigram in lower case."""
-    all_ = F.array(*[F.lit(g) for g in sorted(wanted)])
+def postings(docs: DataFrame, wanted: list[str], key: str, text: str) -> DataFrame:
+    """The index: a row (trigram's number in ``wanted``, key) for each document that has the trigram in lower case."""
+    all_ = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(g).alias("g")) for i, g in enumerate(wanted)])
     low = docs.select(F.col(key).alias("k"), F.lower(F.col(text)).alias("low"))
-    return low.select("k", F.explode(F.filter(all_, lambda g: F.contains(F.col("low"), g))).alias("g"))
+    return low.select("k", F.explode(F.filter(all_, lambda g: F.contains(F.col("low"), g["g"]))).alias("x")).select(F.col("x.i").alias("i"), "k")
+
+
+def answer(index: DataFrame, queries: list[Query], wanted: list[str]) -> DataFrame:
+    """k and ``rules``, the bits of the queries that it satisfies, of documents with any.
+
+    All posting lists are merged by document at once, as a bit for each trigram, which intersects and unites them in
+    one pass; no list is in one task.
+    """
+    words = range(-(-len(wanted) // _BITS))
+    found = index.groupBy("k").agg(*[F.bit_or(_shifted(w)).alias(f"bits{w}") for w in words])
+    number = {g: i for i, g in enumerate(wanted)}
+    rules = F.lit(0)
+    for i, q in enumerate(queries):
+        if q is not True:
+            rules = rules.bitwiseOR(F.when(_holds(q, number), F.lit(1 << i)).otherwise(F.lit(0)))
+    return found.select("k", rules.cast("int").alias("rules")).filter("rules <> 0")
+
+
+def _shifted(word: int) -> Column:
+    """The bit of a trigram in its word; 0 in others."""
+    return F.expr(f"CASE WHEN i div {_BITS} = {word} THEN shiftleft(1L, cast(i % {_BITS} AS int)) ELSE 0L END")
 
 
 def scan(docs: DataFrame, rules: list[tuple[str, str, str | None]] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,22 +179,21 @@ def scan(docs: DataFrame, rules: list[tuple[str, str, str | None]] = RULES, key:
     Keys may repeat or be null: their rows share postings, each row is searched by itself and stays. Texts of any
     length are searched whole; an empty table gives none; other columns are ignored, whatever their names.
     """
-    queries = {name: trigram_query(pattern) for name, pattern, _ in rules}
+    queries = [trigram_query(pattern) for _, pattern, _ in rules]
     rows = docs.select(F.col(key).alias("k_"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t_"))
-    wanted = set().union(*map(trigrams, queries.values()))
+    wanted = sorted(set().union(*map(trigrams, queries)))
     if wanted:
-        found = postings(rows, wanted, "k_", "t_").groupBy("k").agg(F.collect_set("g").alias("has"))
-        chosen = F.filter(F.array(*[F.when(_holds(q, "has"), F.lit(n)) for n, q in queries.items() if q is not True]), F.isnotnull)
-        candidates = checkpoint(found.select("k", chosen.alias("rules")).filter(F.size("rules") > 0))
+        candidates = checkpoint(answer(postings(rows, wanted, "k_", "t_"), queries, wanted))
         rows = rows.join(small(candidates, candidates.count()), rows["k_"].eqNullSafe(candidates["k"]), "left").drop("k")
+
     def long_value(pattern: str):
         return lambda x: F.length(F.regexp_extract(x["m"], pattern, 1)) >= 6
 
     def satisfies(pattern: str):
         return lambda x: x["m"].rlike(pattern)
 
-    for name, pattern, then in rules:
-        rows = find(rows, "t_", name, pattern, None if queries[name] is True else F.array_contains("rules", name))
+    for i, (name, pattern, then) in enumerate(rules):
+        rows = find(rows, "t_", name, pattern, None if queries[i] is True else F.col("rules").bitwiseAND(F.lit(1 << i)) != 0)
         if name == "assign":
             rows = rows.withColumn(name, F.filter(name, long_value(pattern)))
         elif then:
