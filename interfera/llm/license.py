@@ -19,18 +19,67 @@ from interfera.llm.store import small_batches, table, tidy
 
 #: Words that must stand together, and the labels of the contract.
 BASE = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
-#: Our templates.
-TEMPLATES = [
+#: Notices of a line, in templates of ours.
+NOTICES = [
     ("apache", "Licensed under the Apache License <<opt>>Version <<var:2>><</opt>>"),
-    ("apache-full", 'Licensed under the Apache License Version 2.0 (the "License") you may not use this file except in compliance with the License <<opt>>You may obtain a copy of the License at <<var:4-8>><</opt>> Unless required by applicable law or agreed to in writing software distributed under the License is distributed on an AS IS BASIS'),
     ("mit", "Released under the <<opt>>terms of the<</opt>> MIT License"),
-    ("mit-full", "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files (the Software) to deal in the Software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and/or sell copies of the Software"),
     ("gpl-notice", "This <<var:1-3>> is licensed under the <<opt>>terms of the<</opt>> GNU <<opt>>Lesser<</opt>> <<opt>>Affero<</opt>> General Public License <<opt>>version <<var:1>><</opt>>"),
-    ("gpl-full", "This program is free software <<opt>>you can redistribute it and/or modify it<</opt>> under the terms of the GNU General Public License as published by the Free Software Foundation either version <<var:1>> of the License or (at your option) any later version"),
     ("cc", "Licensed under <<opt>>a Creative Commons<</opt>> CC BY <<opt>>NC<</opt>> <<opt>>SA<</opt>> <<opt>>ND<</opt>> <<opt>><<var:2>><</opt>>"),
-    ("bsd-full", "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("copyright", "Copyright <<opt>>c<</opt>> <<var:1-8>> All rights reserved"),
 ]
+#: Whole license texts, with marks.
+LICENSES = [
+    ("mit-full", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+this permission notice <<opt>>(including the next paragraph)<</opt>> shall be included in all copies or substantial
+portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+SHALL <<var:1-12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"""),
+    ("bsd-full", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met: <<opt>>1<</opt>> Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer. <<opt>>2<</opt>> Redistributions in binary form must
+reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or
+other materials provided with the distribution. <<opt>><<opt>>3<</opt>> Neither the name of <<var:1-12>> nor the names
+of its contributors may be used to endorse or promote products derived from this software without specific prior
+written permission.<</opt>> THIS SOFTWARE IS PROVIDED BY <<var:1-12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL <<var:1-12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE"""),
+    ("isc-full", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted<<opt>>, provided that the above copyright notice and this permission notice appear in all copies<</opt>>. THE
+SOFTWARE IS PROVIDED "AS IS" AND <<var:1-8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var:1-8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+SOFTWARE"""),
+    ("zlib-full", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions: <<opt>>1<</opt>> The origin of this software must not be misrepresented; you must not claim that you wrote
+the original software. If you use this software in a product, an acknowledgment in the product documentation would be
+appreciated but is not required. <<opt>>2<</opt>> Altered source versions must be plainly marked as such, and must not
+be misrepresented as being the original software. <<opt>>3<</opt>> This notice may not be removed or altered from any
+source distribution"""),
+    ("apache-full", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+with the License. You may obtain a copy of the License at <<var:4-8>> Unless required by applicable law or agreed to in
+writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF
+ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations
+under the License"""),
+    ("gpl-full", """This <<var:1-3>> is free software; you can redistribute it and/or modify it under the terms of the
+GNU <<opt>>Lesser<</opt>> <<opt>>Affero<</opt>> General Public License as published by the Free Software
+Foundation; either version <<var:1-2>> of the License, or (at your option) any later version. This
+<<var:1-3>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty
+of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU <<opt>>Lesser<</opt>> <<opt>>Affero<</opt>> General
+Public License for more details. You should have received a copy of the GNU <<opt>>Lesser<</opt>> <<opt>>Affero<</opt>>
+General Public License along with this <<var:1-3>> <<opt>>If not, see <<var:2-8>><</opt>>"""),
+]
+TEMPLATES = NOTICES + LICENSES
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _MARK = re.compile(r"<<(/?)(opt|var)(?::(\d+)(?:-(\d+))?)?>>")
@@ -88,7 +137,19 @@ class Automaton:
         if start & self.any.keys() or self.last in start:
             raise ValueError(f"a template must begin with a mandatory word: {template}")
         self.first = {self.word[s][0] for s in start if s in self.word}
-        self.mandatory = words(re.sub(r"<<opt>>.*<</opt>>", " ", _MARK.sub(lambda m: " " if m[2] == "var" else m[0], template)))
+        self.mandatory = self._mandatory(template)
+
+    @staticmethod
+    def _mandatory(template: str) -> list[str]:
+        """The distinct words outside all optional regions."""
+        out, depth, at = [], 0, 0
+        for mark in [*_MARK.finditer(template), None]:
+            if not depth:
+                out += words(template[at : mark.start() if mark else len(template)])
+            if mark:
+                depth += (-1 if mark[1] else 1) * (mark[2] == "opt")
+                at = mark.end()
+        return list(dict.fromkeys(out))
 
     def closed(self, states: set[int]) -> set[int]:
         out, todo = set(states), list(states)
