@@ -20,7 +20,9 @@ from interfera.llm.words import mix
 
 DIMENSIONS = 512
 GRAM = 3
-_CHUNK = 1 << 19
+_CHUNK = 1 << 18
+#: Numbers that a table may have in memory.
+_TABLE = 1 << 18
 
 
 @cache
@@ -81,7 +83,7 @@ def _add(out: np.ndarray, texts: list[str], group: list[int], dimensions: int) -
     for k in range(1, GRAM):
         inside[np.maximum(first[1:] - k, 0)] = False
     gram, owner = gram[inside[:n]], owner[inside[:n]]
-    if m**GRAM <= 1 << 22:
+    if m**GRAM <= _TABLE:
         seen = np.flatnonzero(np.bincount(gram, minlength=m**GRAM))
         index = np.zeros(m**GRAM, dtype=np.int64)
         index[seen] = np.arange(len(seen))
@@ -91,14 +93,18 @@ def _add(out: np.ndarray, texts: list[str], group: list[int], dimensions: int) -
     groups, owner = np.unique(owner, return_inverse=True)
     base = letter_vectors(names, dimensions)
     rolled = [np.roll(base, GRAM - 1 - k, axis=1) for k in range(GRAM)]
-    step = max(1, (1 << 22) // max(len(groups), dimensions))
-    counts = np.bincount(owner * len(seen) + gram, minlength=len(groups) * len(seen)).reshape(len(groups), len(seen)).astype(np.float32)
-    for i in range(0, len(seen), step):
+    step = max(1, 2 * _TABLE // max(len(groups), dimensions))
+    # of each n-gram in order, the texts with it and how often
+    pair, times = np.unique(gram * len(groups) + owner, return_counts=True)
+    cut = np.searchsorted(pair, np.arange(0, len(seen) + step, step) * len(groups))
+    for k, i in enumerate(range(0, len(seen), step)):
         part, vectors = seen[i : i + step], None
-        for k in range(GRAM):
-            v = rolled[k][part // m ** (GRAM - 1 - k) % m]
+        counts = np.zeros((len(part), len(groups)), dtype=np.float32)
+        counts.reshape(-1)[pair[cut[k] : cut[k + 1]] - i * len(groups)] = times[cut[k] : cut[k + 1]]
+        for g in range(GRAM):
+            v = rolled[g][part // m ** (GRAM - 1 - g) % m]
             vectors = v if vectors is None else vectors * v
-        out[groups] += counts[:, i : i + step] @ vectors
+        out[groups] += counts.T @ vectors
 
 
 def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS) -> DataFrame:
@@ -143,8 +149,8 @@ def identify(docs: DataFrame, languages: DataFrame, key: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
                 texts = part.column(1).to_pylist()
                 v = bundles(texts, np.arange(len(texts)), len(texts), dimensions)
                 cosine = (v @ matrix.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
