@@ -37,7 +37,7 @@ _STATES = 9
 # space; for quotes, how many letters a contraction would take. S_NEAR: a letter with a quote close before it; no other
 # letter can belong to a contraction.
 S_LETTER, S_NUMBER, S_OTHER, S_BLANK, S_LAST_SPACE, S_LAST_BLANK, S_QUOTE_1, S_QUOTE_2, S_NEAR, S_FIRST = range(10)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def _step(symbol: int, state: int) -> tuple[int, bool]:
@@ -155,65 +155,61 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.none = max(ranks.values()) + 1
-        self.of_byte = [ranks[bytes([x])] for x in range(256)]
-        self.pair: dict[int, int] = {}
-        for token, rank in ranks.items():
-            for k in range(1, len(token)):
-                if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
-                    self.pair[a << 20 | b] = rank
 
     def __call__(self, piece: bytes) -> list[int]:
         """Joins the neighbours of lowest rank, leftmost first, till none can be joined."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        of, none, get = self.of_byte, self.none, self.pair.get
-        ids = [of[x] for x in piece]
-        if len(ids) > 64:
-            return self._long(ids)
-        pairs = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        none, get = self.none, self.ranks.get
+        if len(piece) > 64:
+            return self._long(piece)
+        at = list(range(len(piece) + 1))  # where tokens begin
+        pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
         while pairs and (best := min(pairs)) < none:
             i = pairs.index(best)
-            ids[i] = best
-            del ids[i + 1], pairs[i]
+            del at[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = get(ids[i - 1] << 20 | best, none)
+                pairs[i - 1] = get(piece[at[i - 1] : at[i + 1]], none)
             if i < len(pairs):
-                pairs[i] = get(best << 20 | ids[i + 1], none)
-        return ids
+                pairs[i] = get(piece[at[i] : at[i + 2]], none)
+        return [get(piece[a:b]) for a, b in zip(at, at[1:])]
 
-    def _long(self, ids: list[int]) -> list[int]:
+    def _long(self, piece: bytes) -> list[int]:
         """The same in O(n log n): a heap of pairs over a linked list, whose stale entries are passed over."""
-        n, get = len(ids), self.pair.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] << 20 | ids[i + 1])) is not None]
+        n, get = len(piece), self.ranks.get
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token that begins here; end 0: none does
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
+            _, i, to = heapq.heappop(heap)
+            j = end[i]
+            if not j or j >= n or end[j] != to:
                 continue
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if (k := after[i]) < n:
-                before[k] = i
-                if (r := get(rank << 20 | ids[k])) is not None:
-                    heapq.heappush(heap, (r, i, rank, ids[k]))
-            if (p := before[i]) >= 0 and (r := get(ids[p] << 20 | rank)) is not None:
-                heapq.heappush(heap, (r, p, ids[p], rank))
-        return [x for x in ids if x >= 0]
+            end[i], end[j] = to, 0
+            if to < n:
+                before[to] = i
+                if (r := get(piece[i : end[to]])) is not None:
+                    heapq.heappush(heap, (r, i, end[to]))
+            if (p := before[i]) >= 0 and (r := get(piece[p:to])) is not None:
+                heapq.heappush(heap, (r, p, to))
+        return [get(piece[i : end[i]]) for i in range(n) if end[i]]
 
 
 class _Pieces(dict):
-    """The ids of each piece met so far, as little-endian 32-bit integers; emptied when it has ``most`` pieces."""
+    """The ids of each piece met of late, as little-endian 32-bit integers. With ``most`` pieces it begins anew and takes
+    over those of the last time that are met again; so it holds twice as many at most, about 20 MB."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 50_000):
         super().__init__()
-        self.merge, self.most = Merges(ranks), most
+        self.merge, self.most, self.last = Merges(ranks), most, {}
 
     def __missing__(self, piece: str) -> bytes:
-        tokens = self.merge(piece.encode())
-        ids = struct.pack(f"<{len(tokens)}I", *tokens)
+        if (ids := self.last.get(piece)) is None:
+            tokens = self.merge(piece.encode())
+            ids = struct.pack(f"<{len(tokens)}I", *tokens)
         if len(piece) <= 64:
             if len(self) >= self.most:
+                self.last = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -279,7 +275,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
         bpe = _encoder(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in runs([len(t) for t in texts], 4 * _CHUNK):
+            for i, j in runs([len(t) for t in texts], 2 * _CHUNK):
                 coded = bpe.encode(texts[i:j])
                 decoded = [bpe.decode(c) for c in coded]
                 columns = [

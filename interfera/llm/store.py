@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -17,15 +19,24 @@ BROADCAST_IDS = 2_000_000
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and returns it with a short lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a local
-    folder is used.
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset, one is set in local mode only.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; an error on a cluster that names none."""
+    sc = spark.sparkContext
+    if found := sc.getConf().get("spark.checkpoint.dir"):
+        return found
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir is unset: it names a folder that the driver and the executors share")
+    return os.path.join(tempfile.gettempdir(), "spark-checkpoints")
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` of the counted number of ``rows``, marked for broadcasting if that is within BROADCAST_IDS."""
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
@@ -38,7 +49,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds at once, as texts may be very long: batches end at so many rows or bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
