@@ -6,14 +6,13 @@ gives any of them. The coordinates are cut into bands, and documents that agree
 their full sets of 64-bit shingle hashes.
 
 Documents with the same set (by a digest of 128 bits) are one class from the start; of each class one is compared, so
-exact copies cost nothing more. Classes that share bands, directly or not, are a family. A family is cut into blocks
-of about BLOCK shingles; a task gets two blocks, or one, confirms the pairs that share a band and aren't known to be
-connected, and returns a spanning forest of the links. So no task gets a whole family and no pairs are written.
-
-A family of more than FEW blocks isn't compared block by block at first, which would grow with its square. Each class
-is compared with the first one of each of its bands, which connects most of a large group of near copies. What is then
-not yet one component in some band is compared in blocks, where large components have blocks of their own that aren't
-compared with each other.
+exact copies cost nothing more. Classes that share bands, directly or not, are a family. A family of up to BLOCK
+shingles is one task, which confirms the pairs that share a band and aren't known to be connected, and returns a
+spanning forest of the links. No pairs are written.
+
+Of a larger family each class is first compared with the first one of each of its bands, which connects most of a large
+group of near copies. What is then not yet one component in some band is compared in blocks of about BLOCK shingles,
+two to a task, where large components have blocks of their own that aren't compared with each other.
 """
 
 from __future__ import annotations
@@ -35,8 +34,8 @@ SHINGLE = 5
 PERCENT = 75
 #: 50 bands of 5: two sets of similarity 0.75 share no band with a chance of 1.3e-6.
 BANDS, ROWS = 50, 5
-#: Shingles of a block, and blocks of a family that are compared with each other at once.
-BLOCK, FEW = 1 << 19, 4
+#: Shingles of a block.
+BLOCK = 1 << 19
 _BYTES = 1 << 20
 
 
@@ -147,21 +146,23 @@ def _links(classes: DataFrame, rows: DataFrame) -> DataFrame:
     """Confirmed links u, v between classes that connect all that is connected. classes: id, k (a key with that set),
     f (the set's digest), n and bands of each."""
     family = checkpoint(_families(classes).join(classes, "id"))
-    parts = family.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    total = family.groupBy("component").agg(F.sum("n").alias("all")).filter(F.col("all") > BLOCK)
+    large = checkpoint(total.select("component", F.lit(True).alias("large")))
     wanted = family.select("k").distinct()
     sets = _sets(rows.join(small(wanted, wanted.count()), "k", "left_semi"), "set")
     # other texts of the same key have other digests
     sets = checkpoint(sets.join(family.select("id", "f"), "f").select("id", "set").dropDuplicates(["id"]))
-    sized = family.join(parts, "component")
-    ordinary = sized.filter(F.col("parts") <= FEW).withColumn("root", F.col("id")).select("component", "id", "root", "n", "bands")
-    if not parts.filter(F.col("parts") > FEW).take(1):
-        return checkpoint(_in_blocks(ordinary, sets))
-    large = sized.filter(F.col("parts") > FEW)
-    stars = checkpoint(_stars(large, sets))
+    family = family.join(small(large, large.count()), "component", "left")
+    every = F.lit(True)
+    at_once = family.filter("large IS NULL").select("component", "id", F.col("id").alias("root"), "bands", every.alias("left"), every.alias("right"))
+    links = checkpoint(at_once.join(sets, "id").groupBy("component").applyInArrow(_confirm, "u bigint, v bigint"))
+    if not large.take(1):
+        return links
+    stars = checkpoint(_stars(family.filter("large"), sets))
     known = components(stars).select(F.col("node").alias("id"), F.col("component").alias("root"))
-    rooted = checkpoint(large.join(known, "id", "left").select("id", "n", "bands", F.coalesce("root", "id").alias("root")))
+    rooted = checkpoint(family.filter("large").join(known, "id", "left").select("id", "n", "bands", F.coalesce("root", "id").alias("root")))
     rest = _families(rooted).join(rooted, "id").select("component", "id", "root", "n", "bands")
-    return stars.unionByName(checkpoint(_in_blocks(ordinary, sets))).unionByName(checkpoint(_in_blocks(rest, sets)))
+    return links.unionByName(stars).unionByName(checkpoint(_in_blocks(checkpoint(rest), sets)))
 
 
 def _families(classes: DataFrame) -> DataFrame:
@@ -186,12 +187,15 @@ def _stars(classes: DataFrame, sets: DataFrame) -> DataFrame:
 def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links u, v that connect all that is connected, beside what members of one root are already. members: component
     (the family), id, root, n, bands."""
-    by_root = members.groupBy("component", "root").agg(F.sum("n").alias("all"))
-    by_root = by_root.select("component", "root", F.when(F.col("all") >= BLOCK, F.col("root")).otherwise(-1).alias("owner"), "all")
-    parts = by_root.groupBy("component", "owner").agg(F.ceil(F.sum("all") / BLOCK).cast("int").alias("parts"))
     # a root of a block or more has blocks of its own; the others of a family share blocks
-    placed = members.join(by_root.select("component", "root", "owner"), ["component", "root"]).join(parts, ["component", "owner"])
+    by_root = checkpoint(members.groupBy("component", "root").agg(F.sum("n").alias("all")))
+    own = by_root.filter(F.col("all") >= BLOCK).select("component", "root", F.ceil(F.col("all") / BLOCK).cast("int").alias("own"))
+    pool = by_root.filter(F.col("all") < BLOCK).groupBy("component").agg(F.ceil(F.sum("all") / BLOCK).cast("int").alias("pool"))
+    several = pool.filter("pool > 1")
+    placed = members.join(small(own, own.count()), ["component", "root"], "left").join(small(several, several.count()), "component", "left")
+    placed = placed.withColumn("owner", F.when(F.col("own").isNotNull(), F.col("root")).otherwise(-1)).withColumn("parts", F.coalesce("own", "pool", F.lit(1)))
     placed = placed.select("component", "owner", F.expr("cast(pmod(xxhash64(id), parts) AS int)").alias("p"), "id", "root", "bands")
+    parts = own.select("component", F.col("root").alias("owner"), F.col("own").alias("parts")).unionByName(pool.select("component", F.lit(-1).cast("long").alias("owner"), F.col("pool").alias("parts")))
     block = parts.select("component", "owner", F.explode(F.expr("sequence(0, parts - 1)")).alias("p"))
     one, two = (block.select("component", F.struct("owner", "p").alias(c)) for c in "ij")
     meet = one.join(two, "component").filter("i < j OR (i = j AND i.owner = -1)").filter("i.owner <> j.owner OR i.owner = -1")
