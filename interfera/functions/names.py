@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 def sanitize_source(name: Column) -> Column:
     """A source's name as an identifier: other characters become _, a leading digit gets an M, blank is unknown."""
-    plain = F.regexp_replace(F.trim(name), "[^A-Za-z0-9_]", "_")
-    return F.when(F.trim(name) == "", "unknown").when(plain.rlike("^[0-9]"), F.concat(F.lit("M"), plain)).otherwise(plain)
+    bare = F.regexp_replace(name, r"^\s+|\s+$", "")
+    plain = F.regexp_replace(bare, "[^A-Za-z0-9_]", "_")
+    return F.when(bare == "", "unknown").when(plain.rlike("^[0-9]"), F.concat(F.lit("M"), plain)).otherwise(plain)
 
 
 def partition_key(*parts: Column) -> Column:
@@ -27,8 +28,9 @@ def is_parallel(pol: Column) -> Column:
 
 
 def feed(pol: Column, at: int) -> Column:
-    """1 for P, 2 for Q; at: 1 or 2, which antenna's."""
-    return F.when(F.substring(pol, at, 1) == "P", 1).otherwise(2)
+    """1 for P, 2 for Q, else an error; at: 1 or 2, which antenna's."""
+    letter = F.substring(pol, at, 1)
+    return F.when(letter == "P", 1).when(letter == "Q", 2).otherwise(F.raise_error(F.concat(F.lit("no feed: "), pol)).cast("int"))
 
 
 def encode_baseline(a: Column, b: Column) -> Column:

@@ -13,8 +13,9 @@ def sources(vis: DataFrame) -> DataFrame:
 
 def summary(vis: DataFrame) -> DataFrame:
     """A row for each partition with its shape: channels, times, baselines, polarisations, records."""
-    bl, key = F.struct("ant1", "ant2"), ["source_name", "scan"]
-    return vis.groupBy(*key).agg(F.countDistinct("chan").alias("n_chan"), F.countDistinct("ts").alias("n_time"), F.countDistinct(bl).alias("n_baseline"), F.countDistinct("pol").alias("n_pol"), F.count(F.lit(1)).alias("n_record"))
+    key, few = ["source_name", "scan"], lambda c, name: F.size(F.collect_set(c)).cast("long").alias(name)
+    # channels, baselines and polarisations are sets of a few values, so only times need a second aggregation
+    return vis.groupBy(*key).agg(few("chan", "n_chan"), F.countDistinct("ts").alias("n_time"), few(F.struct("ant1", "ant2"), "n_baseline"), few("pol", "n_pol"), F.count(F.lit(1)).alias("n_record"))
 
 
 def scan_window(vis: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from interfera.functions.cplx import sampled
+from interfera.functions.cplx import finite, sampled, weighted
 from interfera.functions.names import is_parallel
 
 
@@ -22,9 +22,10 @@ def coherence(vis: DataFrame, *by: str) -> DataFrame:
 
 
 def reference_channel(vis: DataFrame) -> DataFrame:
-    """The channel of most weight in parallel hands; the first of equals."""
-    rows = vis.where(sampled(im="im") & is_parallel(F.col("pol")))
-    return rows.groupBy("chan").agg(F.sum("w").alias("weight")).orderBy(F.desc("weight"), "chan").limit(1)
+    """The channel of most weight in parallel hands, whatever their visibilities; the first of equals; 1 without any."""
+    rows = vis.where(weighted() & is_parallel(F.col("pol")))
+    best = rows.groupBy("chan").agg(F.sum("w").alias("weight")).agg(F.max(F.struct("weight", (-F.col("chan")).alias("c"))).alias("best"))
+    return best.select(F.coalesce((-F.col("best.c")).cast("int"), F.lit(1)).alias("chan"), F.coalesce("best.weight", F.lit(0.0)).alias("weight"))
 
 
 def diagnostic_baseline(vis: DataFrame) -> DataFrame:
@@ -32,28 +33,59 @@ def diagnostic_baseline(vis: DataFrame) -> DataFrame:
     return rows.groupBy("ant1", "ant2").agg(F.sum("w").alias("weight")).orderBy(F.desc("weight"), "ant1", "ant2").limit(1)
 
 
-def unwrap(tracks: DataFrame, *by: str) -> DataFrame:
-    """Adds ``unwrapped`` to tracks (by, chan, phase): whole turns are taken out of steps between channels."""
+def unwrap(tracks: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
+    """Adds ``unwrapped`` to tracks (by, chan, phase): whole turns are taken out of steps between channels, outwards from
+    the channel of the most (finite) weight, or the first; that one keeps its phase. Channels that aren't finite stay
+    as they are and are passed over."""
     order = W.partitionBy(*by).orderBy("chan")
-    step = F.col("phase") - F.lag("phase").over(order)
+    ok = finite(F.col("phase"))
+    good = F.when(ok, F.col("phase"))
+    step = good - F.last(good, True).over(order.rowsBetween(W.unboundedPreceding, -1))
     turns = F.coalesce(F.rint(step / (2 * F.pi())), F.lit(0.0))
-    return tracks.withColumn("turns_", turns).withColumn("unwrapped", F.col("phase") - 2 * F.pi() * F.sum("turns_").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("turns_")
+    out = tracks.withColumn("turns_", turns).withColumn("sum_", F.sum("turns_").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    value = F.lit(0.0) if weight is None else F.when(finite(F.col(weight)), F.col(weight)).otherwise(float("-inf"))
+    seed = F.max(F.when(ok, F.struct(value.alias("w"), (-F.col("chan")).alias("c"), F.col("sum_").alias("s")))).over(W.partitionBy(*by))
+    out = out.withColumn("seed_", seed["s"])
+    return out.withColumn("unwrapped", F.when(ok, F.col("phase") - 2 * F.pi() * (F.col("sum_") - F.col("seed_"))).otherwise(F.col("phase"))).drop("turns_", "sum_", "seed_")
 
 
-def neighbour_median(tracks: DataFrame, *by: str, window: int = 2) -> DataFrame:
-    """Adds ``scale``: the median amplitude of up to ``window`` channels on either side, itself left out; with fewer
-    than two, that of the track."""
-    order = W.partitionBy(*by).orderBy("chan")
-    near = F.concat(F.collect_list("amp").over(order.rangeBetween(-window, -1)), F.collect_list("amp").over(order.rangeBetween(1, window)))
-    n = F.size("near_")
-    mid = (F.element_at("near_", F.floor((n + 1) / 2).cast("int")) + F.element_at("near_", F.floor(n / 2).cast("int") + 1)) / 2
-    out = tracks.withColumn("near_", F.array_sort(near)).withColumn("all_", F.median("amp").over(W.partitionBy(*by)))
-    return out.withColumn("scale", F.when(n >= 2, mid).otherwise(F.col("all_"))).drop("near_", "all_")
+def _middle(values: Column) -> Column:
+    """The median of a sorted array; null for an empty one."""
+    n = F.size(values)
+    return (F.get(values, F.floor((n + 1) / 2).cast("int") - 1) + F.get(values, F.floor(n / 2).cast("int"))) / 2
 
 
-def collapsed(tracks: DataFrame, *by: str, fraction: float = 0.05, least: float = 1e-2) -> DataFrame:
-    """Amplitudes under ``least`` or under a fraction of their neighbours' median."""
-    return neighbour_median(tracks, *by).where((F.col("amp") < least) | (F.col("amp") < fraction * F.col("scale")))
+def neighbour_median(tracks: DataFrame, *by: str, window: int = 2, support: str | None = None) -> DataFrame:
+    """Adds ``scale``: the median amplitude of up to ``window`` channels on either side, itself left out; with fewer than
+    two, that of the track's others; null if there are none. Only finite amplitudes over zero count, and with
+    ``support`` those of a support over zero. A track is a row for each channel."""
+    order = W.partitionBy(*by).orderBy("chan")
+    good = finite(F.col("amp")) & (F.col("amp") > 0)
+    good = good & (F.col(support) > 0) if support else good
+    rows = tracks.withColumn("good_", F.when(good, F.struct("chan", "amp")))
+    near = F.concat(*[F.collect_list("good_").over(order.rangeBetween(a, b)) for a, b in ((-window, -1), (1, window))])
+    every = F.filter(F.collect_list("good_").over(W.partitionBy(*by)), lambda x: x["chan"] != F.col("chan"))
+    amps = lambda x: F.array_sort(F.transform(x, lambda y: y["amp"]))
+    out = rows.withColumns({"near_": amps(near), "all_": amps(every)})
+    return out.withColumn("scale", F.when(F.size("near_") >= 2, _middle(F.col("near_"))).otherwise(_middle(F.col("all_")))).drop("good_", "near_", "all_")
+
+
+def collapsed(tracks: DataFrame, *by: str, fraction: float = 0.05, least: float = 1e-2, window: int = 2, support: str | None = None) -> DataFrame:
+    """Finite amplitudes over zero (with ``support``, of a support over zero) that are under ``least`` or under a fraction
+    of their neighbours' median, if there is one."""
+    good = finite(F.col("amp")) & (F.col("amp") > 0)
+    good = good & (F.col(support) > 0) if support else good
+    low = (F.col("amp") < least) | F.coalesce(F.col("amp") < fraction * F.col("scale"), F.lit(False))
+    return neighbour_median(tracks, *by, window=window, support=support).where(good & F.col("scale").isNotNull() & low)
+
+
+def sanitized(tracks: DataFrame, *by: str, window: int = 2, support: str | None = None) -> DataFrame:
+    """Tracks (by, chan, amp, phase) whose broken amplitudes (not finite, or not over zero; with ``support``, of a support
+    over zero) are replaced by their neighbours' median, if there is one; phases stay. Adds ``repaired``."""
+    broken = ~F.coalesce(finite(F.col("amp")) & (F.col("amp") > 0), F.lit(False))
+    broken = broken & (F.col(support) > 0) if support else broken
+    out = neighbour_median(tracks, *by, window=window, support=support).withColumn("repaired", broken & F.col("scale").isNotNull())
+    return out.withColumn("amp", F.when(F.col("repaired"), F.col("scale")).otherwise(F.col("amp"))).drop("scale")
 
 
 def parallel_support(vis: DataFrame, *by: str) -> DataFrame:

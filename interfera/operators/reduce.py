@@ -28,13 +28,14 @@ def uvw_average(vis: DataFrame, *by: str, names: tuple[str, ...] = ("u", "v", "u
 
 
 def noise(vis: DataFrame, *by: str) -> DataFrame:
-    """Mean amplitude, 1 / sqrt(sum w), and the phase's noise."""
-    out = scan_average(vis, *by)
+    """Mean amplitude, 1 / sqrt(sum w), and the phase's noise, of samples whose both parts are finite."""
+    out = scan_average(vis.where(sampled(im="im")), *by)
     sigma = F.when(F.col("weight") > 0, 1 / F.sqrt("weight"))
     return out.withColumn("amp", F.hypot("re", "im")).withColumn("sigma", sigma).withColumn("sigma_phase", F.try_divide(F.col("sigma"), F.col("amp")))
 
 
 def support(vis: DataFrame, value: Column, *by: str) -> DataFrame:
-    """A sum that each sample adds to both its antennas: weights, or w |v|^2."""
-    ends = F.explode(F.array("ant1", "ant2")).alias("ant")
-    return vis.select("*", value.alias("x_")).select(ends, *by, "x_").groupBy("ant", *by).agg(F.sum("x_").alias("support"))
+    """A sum that each sample adds to both its antennas: weights, or w |v|^2. Pairs are summed up before they're given to
+    their two ends."""
+    pairs = vis.groupBy("ant1", "ant2", *by).agg(F.sum(value).alias("x_"))
+    return pairs.select(F.explode(F.array("ant1", "ant2")).alias("ant"), *by, "x_").groupBy("ant", *by).agg(F.sum("x_").alias("support"))

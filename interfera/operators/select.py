@@ -34,10 +34,13 @@ def time_window(vis: DataFrame, low: str, high: str) -> DataFrame:
 
 def merge(*sets: DataFrame, key: str = "partition_key") -> DataFrame:
     """The union of sets without a partition in common; one that is in two is an error, found as it is read."""
-    first, *rest = sets
-    out = first.withColumn("set_", F.lit(0))
-    for i, other in enumerate(rest, 1):
-        out = out.unionByName(other.withColumn("set_", F.lit(i)))
-    owners = out.groupBy(key).agg(F.min("set_").alias("low_"), F.max("set_").alias("high_"))
-    checked = owners.select(key, F.when(F.col("low_") == F.col("high_"), True).otherwise(F.raise_error(F.concat(F.lit("partition in two sets: "), key))).alias("ok_"))
-    return out.join(checked, key).where("ok_").drop("set_", "ok_")
+    keys = sets[0].select(key).distinct()
+    for other in sets[1:]:  # of each set its partitions alone are compared
+        keys = keys.unionAll(other.select(key).distinct())
+    twice = keys.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.min(key).alias("twice_"))
+    out = sets[0]
+    for other in sets[1:]:
+        out = out.unionByName(other)
+    # one row by all: the smallest partition that is in two sets, or null
+    checked = out.join(F.broadcast(twice), F.lit(True))
+    return checked.where(F.when(F.col("twice_").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("partition in two sets: "), "twice_")).cast("boolean"))).drop("twice_")

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from interfera.functions import astro, names
-from interfera.functions.cplx import flagged, sampled, weighted
+from interfera.functions.cplx import finite, flagged, sampled, weighted
 from interfera.operators import calibrate, catalog, diagnostics, reduce, select
-from interfera.plans.tables import GAIN_SQL, VIS_SQL, calibration, gains, visibilities
+from interfera.plans.tables import ANTENNAS, CALIBRATION_SQL, GAIN_SQL, MODEL_SQL, VIS_SQL, calibration, gains, visibilities
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,13 +35,13 @@ def query(name: str, sql: str | None = None, *, vis: bool = True, gain: bool = F
 
 
 @query("scan_average", """SELECT scan, ant1, ant2, pol, chan, round(W, 6) AS weight, CASE WHEN W > 0 THEN round(x / W, 6) ELSE 'nan'::DOUBLE END AS re, CASE WHEN W > 0 THEN round(y / W, 6) ELSE 'nan'::DOUBLE END AS im, W <= 0 AS flag
- FROM (SELECT scan, ant1, ant2, pol, chan, sum(CASE WHEN w > 0 THEN w ELSE 0.0 END) AS W, sum(CASE WHEN w > 0 THEN w * re ELSE 0.0 END) AS x, sum(CASE WHEN w > 0 THEN w * im ELSE 0.0 END) AS y FROM vis GROUP BY ALL)""")
+ FROM (SELECT scan, ant1, ant2, pol, chan, sum(CASE WHEN ok1 THEN w ELSE 0.0 END) AS W, sum(CASE WHEN ok1 THEN w * re ELSE 0.0 END) AS x, sum(CASE WHEN ok1 THEN w * im ELSE 0.0 END) AS y FROM vis GROUP BY ALL)""")
 def _(vis):
     key = ["scan", "ant1", "ant2", "pol", "chan"]
     return reduce.scan_average(vis, *key).select(*key, *r("weight", "re", "im"), "flag")
 
 
-@query("uvw_average", "SELECT scan, ant1, ant2, " + ", ".join(f"round(sum(CASE WHEN w > 0 THEN w * {c} ELSE 0.0 END) / nullif(sum(CASE WHEN w > 0 THEN w ELSE 0.0 END), 0), 6) AS {c}" for c in ("u", "v", "uw")) + " FROM vis GROUP BY ALL")
+@query("uvw_average", "SELECT scan, ant1, ant2, " + ", ".join(f"round(sum(CASE WHEN ok1 AND isfinite({c}) THEN w * {c} ELSE 0.0 END) / nullif(sum(CASE WHEN ok1 THEN w ELSE 0.0 END), 0), 6) AS {c}" for c in ("u", "v", "uw")) + " FROM vis GROUP BY ALL")
 def _(vis):
     return reduce.uvw_average(vis, "scan", "ant1", "ant2").select("scan", "ant1", "ant2", *r("u", "v", "uw"))
 
@@ -95,11 +95,11 @@ def _(vis):
     return select.merge(vis.where(early), vis.where(~early)).groupBy("partition_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("baseline_concat", "SELECT *, dense_rank() OVER (PARTITION BY ant1, ant2 ORDER BY scan) AS place FROM (SELECT ant1, ant2, pol, chan, scan, count(*) AS n FROM vis WHERE ant1 = 1 GROUP BY ALL)")
+@query("baseline_concat", "SELECT *, dense_rank() OVER (PARTITION BY ant1, ant2 ORDER BY scan) AS place FROM (SELECT ant1, ant2, pol, chan, scan, count(*) AS n FROM vis GROUP BY ALL)")
 def _(vis):
     from pyspark.sql import Window as W
 
-    some = vis.where("ant1 = 1").groupBy("ant1", "ant2", "pol", "chan", "scan").agg(F.count(F.lit(1)).alias("n"))
+    some = vis.groupBy("ant1", "ant2", "pol", "chan", "scan").agg(F.count(F.lit(1)).alias("n"))
     return some.withColumn("place", F.dense_rank().over(W.partitionBy("ant1", "ant2").orderBy("scan")).cast("long"))
 
 
@@ -155,12 +155,12 @@ def _(vis):
 
 _M = "kr * kr + ki * ki"
 _S = f"""s AS (SELECT scan, ant1, ant2, pol, CASE WHEN d > 0 THEN x / d ELSE 0 END AS s_re, CASE WHEN d > 0 THEN y / d ELSE 0 END AS s_im FROM (SELECT scan, ant1, ant2, pol,
- sum(CASE WHEN w > 0 THEN w * (re * kr + im * ki) ELSE 0.0 END) AS x, sum(CASE WHEN w > 0 THEN w * (im * kr - re * ki) ELSE 0.0 END) AS y, sum(CASE WHEN w > 0 THEN w * ({_M}) ELSE 0.0 END) AS d FROM vg GROUP BY ALL)),
-rr AS (SELECT vg.*, pow(re - (kr * s_re - ki * s_im), 2) + pow(im - (kr * s_im + ki * s_re), 2) AS rr FROM vg JOIN s USING (scan, ant1, ant2, pol) WHERE w > 0)"""
+ sum(CASE WHEN {MODEL_SQL} THEN w * (re * kr + im * ki) ELSE 0.0 END) AS x, sum(CASE WHEN {MODEL_SQL} THEN w * (im * kr - re * ki) ELSE 0.0 END) AS y, sum(CASE WHEN {MODEL_SQL} THEN w * ({_M}) ELSE 0.0 END) AS d FROM vg GROUP BY ALL)),
+rr AS (SELECT vg.*, pow(re - (kr * s_re - ki * s_im), 2) + pow(im - (kr * s_im + ki * s_re), 2) AS rr FROM vg JOIN s USING (scan, ant1, ant2, pol) WHERE {MODEL_SQL})"""
 _CELL = ["scan", "ant1", "ant2", "pol"]
 
 
-@query("apply_bandpass", f"SELECT {', '.join(_SHOWN)}, round(CASE WHEN w > 0 THEN (re * kr + im * ki) / ({_M}) ELSE re END, 6) AS re, round(CASE WHEN w > 0 THEN (im * kr - re * ki) / ({_M}) ELSE im END, 6) AS im, round(CASE WHEN w > 0 THEN w * ({_M}) ELSE w END, 6) AS w FROM vg", gain=True)
+@query("apply_bandpass", f"SELECT {', '.join(_SHOWN)}, round(CASE WHEN ok AND kr IS NOT NULL THEN coalesce((re * kr + im * ki) / nullif({_M}, 0), 'nan'::DOUBLE) ELSE re END, 6) AS re, round(CASE WHEN ok AND kr IS NOT NULL THEN coalesce((im * kr - re * ki) / nullif({_M}, 0), 'nan'::DOUBLE) ELSE im END, 6) AS im, round(CASE WHEN ok AND kr IS NOT NULL THEN w * ({_M}) ELSE w END, 6) AS w FROM vg", gain=True)
 def _(vis, g):
     return calibrate.apply_gains(vis, g).select(*_SHOWN, *r("re", "im", "w"))
 
@@ -176,16 +176,16 @@ def _residuals(vis: DataFrame, g: DataFrame) -> DataFrame:
 
 @query("chi2", f"WITH {_S} SELECT ant1, ant2, round(sum(w * rr), 3) AS chi2 FROM rr GROUP BY ALL", gain=True)
 def _(vis, g):
-    return _residuals(vis, g).groupBy("ant1", "ant2").agg(F.round(F.sum(F.col("w") * F.col("rr")), 3).alias("chi2"))
+    return calibrate.chi_square(vis, g, _CELL, "ant1", "ant2").select("ant1", "ant2", F.round("chi2", 3).alias("chi2"))
 
 
-@query("residual_stats", f"WITH {_S} SELECT ant1, ant2, pol, count(*) AS nvis, 2 * count(*) AS nreal, round(sum(w * rr), 3) AS chi2, round(sum(w), 6) AS sum_w, round(sqrt(avg(rr)), 6) AS rms, round(sqrt(sum(w * rr) / sum(w)), 6) AS wrms, round(sum(w * rr) / (2 * count(*)), 6) AS chi2_per_real, round(median(sqrt(w * rr)), 6) AS median_norm, round(max(sqrt(w * rr)), 6) AS max_norm FROM rr GROUP BY ALL", gain=True)
+@query("residual_stats", f"WITH {_S} SELECT ant1, ant2, pol, count(*) AS nvis, 2 * count(*) AS nreal, round(sum(w * rr), 3) AS chi2, round(sum(w), 6) AS sum_w, round(sqrt(avg(rr)), 6) AS rms, round(sqrt(sum(w * rr) / sum(w)), 6) AS wrms, round(sqrt(sum(w * rr) / count(*)), 6) AS norm_rms, round(sum(w * rr) / count(*), 6) AS chi2_per_vis, round(sum(w * rr) / (2 * count(*)), 6) AS chi2_per_real, round(median(sqrt(w * rr)), 6) AS median_norm, round(max(sqrt(w * rr)), 6) AS max_norm FROM rr GROUP BY ALL", gain=True)
 def _(vis, g):
     out = calibrate.residual_stats(_residuals(vis, g), "ant1", "ant2", "pol")
-    return out.select("ant1", "ant2", "pol", "nvis", "nreal", F.round("chi2", 3).alias("chi2"), *r("sum_w", "rms", "wrms", "chi2_per_real", "median_norm", "max_norm"))
+    return out.select("ant1", "ant2", "pol", "nvis", "nreal", F.round("chi2", 3).alias("chi2"), *r("sum_w", "rms", "wrms", "norm_rms", "chi2_per_vis", "chi2_per_real", "median_norm", "max_norm"))
 
 
-@query("fit_stats", f"WITH {_S} SELECT (SELECT count(*) FROM vis WHERE w > 0) AS nvis_weighted, count(*) AS nvis, round(sum(w * rr), 2) AS chi2 FROM rr", gain=True)
+@query("fit_stats", f"WITH {_S} SELECT (SELECT count(*) FROM vis WHERE ok) AS nvis_weighted, count(*) AS nvis, round(sum(w * rr), 2) AS chi2 FROM rr", gain=True)
 def _(vis, g):
     stats = _residuals(vis, g).agg(F.count(F.lit(1)).alias("nvis"), F.round(F.sum(F.col("w") * F.col("rr")), 2).alias("chi2"))
     return stats.crossJoin(vis.agg(F.sum(weighted().cast("long")).alias("nvis_weighted")))  # one row by one row
@@ -195,88 +195,114 @@ _AMP = "sqrt(re * re + im * im)"
 
 
 @query("coherence", f"""SELECT ant1, ant2, pol, round(c, 6) AS coherence, round(100 * (1 - c), 4) AS loss, CASE WHEN c > 0 THEN round(degrees(sqrt(greatest(-2 * ln(c), 0.0))), 4) ELSE 'inf'::DOUBLE END AS rms, n
- FROM (SELECT ant1, ant2, pol, least(greatest(sqrt(pow(sum(w * re / {_AMP}), 2) + pow(sum(w * im / {_AMP}), 2)) / sum(w), 0.0), 1.0) AS c, count(*) AS n FROM vis WHERE w > 0 AND {_AMP} > 0 GROUP BY ALL)""")
+ FROM (SELECT ant1, ant2, pol, least(greatest(sqrt(pow(sum(w * re / {_AMP}), 2) + pow(sum(w * im / {_AMP}), 2)) / sum(w), 0.0), 1.0) AS c, count(*) AS n FROM vis WHERE ok2 AND {_AMP} > 0 GROUP BY ALL)""")
 def _(vis):
     return diagnostics.coherence(vis, "ant1", "ant2", "pol").select("ant1", "ant2", "pol", *r("coherence"), *r("loss", "rms", digits=4), "n")
 
 
 @query("noise_series", """SELECT ant1, ant2, pol, chan, round(sqrt(x * x + y * y) / W, 6) AS amp, round(1 / sqrt(W), 6) AS sigma, round(1 / sqrt(W) / (sqrt(x * x + y * y) / W), 6) AS sigma_phase
- FROM (SELECT ant1, ant2, pol, chan, sum(w) AS W, sum(w * re) AS x, sum(w * im) AS y FROM vis WHERE w > 0 GROUP BY ALL)""")
+ FROM (SELECT ant1, ant2, pol, chan, sum(w) AS W, sum(w * re) AS x, sum(w * im) AS y FROM vis WHERE ok2 GROUP BY ALL)""")
 def _(vis):
-    return reduce.noise(vis.where(weighted()), "ant1", "ant2", "pol", "chan").select("ant1", "ant2", "pol", "chan", *r("amp", "sigma", "sigma_phase"))
+    return reduce.noise(vis, "ant1", "ant2", "pol", "chan").select("ant1", "ant2", "pol", "chan", *r("amp", "sigma", "sigma_phase"))
 
 
 _ENDS = "(SELECT *, unnest([ant1, ant2]) AS ant FROM vis)"
 
 
-@query("support", f"SELECT ant, chan, round(sum(CASE WHEN w > 0 THEN w * (re * re + im * im) ELSE 0.0 END), 4) AS support FROM {_ENDS} GROUP BY ALL")
+@query("support", f"SELECT ant, chan, round(sum(CASE WHEN ok2 THEN w * (re * re + im * im) ELSE 0.0 END), 4) AS support FROM {_ENDS} GROUP BY ALL")
 def _(vis):
     value = F.when(sampled(im="im"), F.col("w") * (F.col("re") * F.col("re") + F.col("im") * F.col("im"))).otherwise(0.0)
     return reduce.support(vis, value, "chan").select("ant", "chan", *r("support", digits=4))
 
 
-@query("amplitude_support", f"SELECT ant, chan, pol, round(sum(CASE WHEN w > 0 THEN w ELSE 0.0 END), 6) AS support FROM {_ENDS} WHERE {_PARALLEL} GROUP BY ALL")
+@query("amplitude_support", f"SELECT ant, chan, pol, round(sum(CASE WHEN ok THEN w ELSE 0.0 END), 6) AS support FROM {_ENDS} WHERE {_PARALLEL} GROUP BY ALL")
 def _(vis):
     rows = vis.where(names.is_parallel(F.col("pol")))
     return reduce.support(rows, F.when(weighted(), F.col("w")).otherwise(0.0), "chan", "pol").select("ant", "chan", "pol", *r("support"))
 
 
-@query("ref_channel", f"SELECT chan, round(sum(w), 6) AS weight FROM vis WHERE w > 0 AND {_PARALLEL} GROUP BY chan ORDER BY weight DESC, chan LIMIT 1")
+@query("ref_channel", f"SELECT chan, round(sum(w), 6) AS weight FROM vis WHERE ok AND {_PARALLEL} GROUP BY chan ORDER BY weight DESC, chan LIMIT 1")
 def _(vis):
     return diagnostics.reference_channel(vis).select("chan", *r("weight"))
 
 
-@query("diag_baseline", f"SELECT ant1, ant2, round(sum(w), 6) AS weight FROM vis WHERE w > 0 AND {_PARALLEL} GROUP BY ALL ORDER BY weight DESC, ant1, ant2 LIMIT 1")
+@query("diag_baseline", f"SELECT ant1, ant2, round(sum(w), 6) AS weight FROM vis WHERE ok1 AND {_PARALLEL} GROUP BY ALL ORDER BY weight DESC, ant1, ant2 LIMIT 1")
 def _(vis):
     return diagnostics.diagnostic_baseline(vis).select("ant1", "ant2", *r("weight"))
 
 
-@query("parallel_hand_support", "SELECT ant1, ant2, CAST(a AS BIGINT) AS n_pp, CAST(b AS BIGINT) AS n_qq, round(p, 6) AS w_pp, round(q, 6) AS w_qq, round(b / greatest(a, 1), 6) AS count_ratio, round(q / greatest(p, 2.220446049250313e-16), 6) AS weight_ratio FROM (SELECT ant1, ant2, sum(CASE WHEN w > 0 AND pol = 'PP' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN w > 0 AND pol = 'QQ' THEN 1 ELSE 0 END) AS b, sum(CASE WHEN w > 0 AND pol = 'PP' THEN w ELSE 0.0 END) AS p, sum(CASE WHEN w > 0 AND pol = 'QQ' THEN w ELSE 0.0 END) AS q FROM vis GROUP BY ALL)")
+@query("parallel_hand_support", "SELECT ant1, ant2, CAST(a AS BIGINT) AS n_pp, CAST(b AS BIGINT) AS n_qq, round(p, 6) AS w_pp, round(q, 6) AS w_qq, round(b / greatest(a, 1), 6) AS count_ratio, round(q / greatest(p, 2.220446049250313e-16), 6) AS weight_ratio FROM (SELECT ant1, ant2, sum(CASE WHEN ok2 AND pol = 'PP' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN ok2 AND pol = 'QQ' THEN 1 ELSE 0 END) AS b, sum(CASE WHEN ok2 AND pol = 'PP' THEN w ELSE 0.0 END) AS p, sum(CASE WHEN ok2 AND pol = 'QQ' THEN w ELSE 0.0 END) AS q FROM vis GROUP BY ALL)")
 def _(vis):
     return diagnostics.parallel_support(vis, "ant1", "ant2").select("ant1", "ant2", "n_pp", "n_qq", *r("w_pp", "w_qq", "count_ratio", "weight_ratio"))
 
 
-_TRACK = "SELECT ant1, ant2, pol, chan, {x} FROM (SELECT ant1, ant2, pol, chan, sum(w) AS W, sum(w * re) AS x, sum(w * im) AS y FROM vis WHERE w > 0 GROUP BY ALL)"
+_TRACK = "SELECT ant1, ant2, pol, chan, {x} FROM (SELECT ant1, ant2, pol, chan, sum(w) AS W, sum(w * re) AS x, sum(w * im) AS y FROM vis WHERE ok2 GROUP BY ALL)"
 
 
-def _track(vis: DataFrame, what: str) -> DataFrame:
-    mean = reduce.scan_average(vis.where(weighted()), "ant1", "ant2", "pol", "chan")
-    return mean.select("ant1", "ant2", "pol", "chan", (F.atan2("im", "re") * 3 if what == "phase" else F.hypot("re", "im")).alias(what))
+def _track(vis: DataFrame, *what: str) -> DataFrame:
+    mean = reduce.scan_average(vis.where(sampled(im="im")), "ant1", "ant2", "pol", "chan")
+    shown = {"phase": F.atan2("im", "re") * 3, "amp": F.hypot("re", "im"), "weight": F.col("weight")}
+    return mean.select("ant1", "ant2", "pol", "chan", *[shown[w].alias(w) for w in what])
 
 
-@query("unwrap", f"""WITH t AS ({_TRACK.format(x="3 * atan2(y, x) AS phase")}),
-d AS (SELECT *, coalesce(round_even((phase - lag(phase) OVER (PARTITION BY ant1, ant2, pol ORDER BY chan)) / (2 * pi()), 0), 0.0) AS k FROM t)
-SELECT ant1, ant2, pol, chan, round(phase - 2 * pi() * sum(k) OVER (PARTITION BY ant1, ant2, pol ORDER BY chan), 5) AS unwrapped FROM d""")
+_BROKEN = "(ant1 + ant2 + chan) % 5 = 0"
+
+
+@query("unwrap", f"""WITH t AS ({_TRACK.format(x="CASE WHEN " + _BROKEN + " THEN NULL ELSE 3 * atan2(y, x) END AS phase, W AS weight")}),
+d AS (SELECT *, coalesce(round_even((phase - lag(phase) OVER (PARTITION BY ant1, ant2, pol ORDER BY chan)) / (2 * pi()), 0), 0.0) AS k FROM t WHERE phase IS NOT NULL),
+e AS (SELECT *, sum(k) OVER (PARTITION BY ant1, ant2, pol ORDER BY chan) AS s FROM d), m AS (SELECT *, first_value(s) OVER (PARTITION BY ant1, ant2, pol ORDER BY weight DESC, chan) AS seed FROM e)
+SELECT ant1, ant2, pol, chan, round(phase - 2 * pi() * (s - seed), 5) AS unwrapped FROM m UNION ALL SELECT ant1, ant2, pol, chan, 'nan'::DOUBLE FROM t WHERE phase IS NULL""")
+def _(vis):
+    track = _track(vis, "phase", "weight").withColumn("phase", F.when(F.expr(_BROKEN), float("nan")).otherwise(F.col("phase")))
+    return diagnostics.unwrap(track, "ant1", "ant2", "pol", weight="weight").select("ant1", "ant2", "pol", "chan", *r("unwrapped", digits=5))
+
+
+_SCALE = f"""t AS ({_TRACK.format(x="CASE WHEN " + _BROKEN + " THEN CASE WHEN chan % 2 = 0 THEN 0.0 ELSE 'nan'::DOUBLE END WHEN (ant1 + chan) % 4 = 0 THEN sqrt(x * x + y * y) / W / 50 ELSE sqrt(x * x + y * y) / W END AS amp, atan2(y, x) AS phase")}),
+n AS (SELECT a.ant1, a.ant2, a.pol, a.chan, a.amp, a.phase, CASE WHEN count(b.amp) FILTER (abs(a.chan - b.chan) <= 2) >= 2 THEN median(b.amp) FILTER (abs(a.chan - b.chan) <= 2) ELSE median(b.amp) END AS scale
+FROM t a LEFT JOIN t b ON a.ant1 = b.ant1 AND a.ant2 = b.ant2 AND a.pol = b.pol AND a.chan <> b.chan AND isfinite(b.amp) AND b.amp > 0 GROUP BY ALL)"""
+
+
+def _amplitudes(vis: DataFrame) -> DataFrame:
+    """Tracks with broken and with low amplitudes."""
+    low = F.when(F.expr("(ant1 + chan) % 4 = 0"), F.col("amp") / 50).otherwise(F.col("amp"))
+    broken = F.when(F.col("chan") % 2 == 0, 0.0).otherwise(float("nan"))
+    return _track(vis, "amp", "phase").withColumn("amp", F.when(F.expr(_BROKEN), broken).otherwise(low))
+
+
+@query("neighbor_median", f"WITH {_SCALE} SELECT ant1, ant2, pol, chan, round(scale, 6) AS scale FROM n")
+def _(vis):
+    return diagnostics.neighbour_median(_amplitudes(vis), "ant1", "ant2", "pol").select("ant1", "ant2", "pol", "chan", *r("scale"))
+
+
+@query("collapsed", f"WITH {_SCALE} SELECT ant1, ant2, pol, chan, round(amp, 6) AS amp, round(scale, 6) AS scale FROM n WHERE isfinite(amp) AND amp > 0 AND scale IS NOT NULL AND (amp < 0.01 OR amp < 0.05 * scale)")
 def _(vis):
-    return diagnostics.unwrap(_track(vis, "phase"), "ant1", "ant2", "pol").select("ant1", "ant2", "pol", "chan", *r("unwrapped", digits=5))
+    return diagnostics.collapsed(_amplitudes(vis), "ant1", "ant2", "pol").select("ant1", "ant2", "pol", "chan", *r("amp", "scale"))
 
 
-@query("neighbor_median", f"""WITH t AS ({_TRACK.format(x="sqrt(x * x + y * y) / W AS amp")})
-SELECT a.ant1, a.ant2, a.pol, a.chan, round(CASE WHEN count(b.amp) FILTER (abs(a.chan - b.chan) BETWEEN 1 AND 2) >= 2 THEN median(b.amp) FILTER (abs(a.chan - b.chan) BETWEEN 1 AND 2) ELSE median(b.amp) END, 6) AS scale
-FROM t a JOIN t b USING (ant1, ant2, pol) GROUP BY a.ant1, a.ant2, a.pol, a.chan""")
+@query("sanitize_amplitudes", f"WITH {_SCALE} SELECT ant1, ant2, pol, chan, NOT (isfinite(amp) AND amp > 0) AND scale IS NOT NULL AS repaired, round(CASE WHEN NOT (isfinite(amp) AND amp > 0) AND scale IS NOT NULL THEN scale ELSE amp END, 6) AS amp, round(3 * phase, 5) AS phase FROM n")
 def _(vis):
-    return diagnostics.neighbour_median(_track(vis, "amp"), "ant1", "ant2", "pol").select("ant1", "ant2", "pol", "chan", *r("scale"))
+    return diagnostics.sanitized(_amplitudes(vis), "ant1", "ant2", "pol").select("ant1", "ant2", "pol", "chan", "repaired", *r("amp"), *r("phase", digits=5))
 
 
-@query("log_ratio_weight", """WITH t AS (SELECT ant1, ant2, pol, scan, chan, max(re * re + im * im) AS v2, max(w) AS w FROM vis GROUP BY ALL)
+@query("log_ratio_weight", """WITH t AS (SELECT ant1, ant2, pol, scan, chan, max(re * re + im * im) AS v2, max(w) AS w FROM vis WHERE ok2 GROUP BY ALL)
 SELECT a.ant1, a.ant2, a.pol, a.scan, a.chan, round(CASE WHEN a.v2 * a.w > 0 AND b.v2 * b.w > 0 THEN 1 / (1 / (a.v2 * a.w) + 1 / (b.v2 * b.w)) ELSE 0.0 END, 6) AS weight FROM t a JOIN t b ON a.ant1 = b.ant1 AND a.ant2 = b.ant2 AND a.pol = b.pol AND a.scan = b.scan AND b.chan = 1""")
 def _(vis):
-    t = vis.groupBy("ant1", "ant2", "pol", "scan", "chan").agg(F.max(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("v2"), F.max("w").alias("w"))
+    t = vis.where(sampled(im="im")).groupBy("ant1", "ant2", "pol", "scan", "chan").agg(F.max(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("v2"), F.max("w").alias("w"))
     ref = t.where("chan = 1").select("ant1", "ant2", "pol", "scan", F.col("v2").alias("v0"), F.col("w").alias("w0"))
     weight = astro.log_ratio_weight(F.col("v2"), F.col("w"), F.col("v0"), F.col("w0"))
     return t.join(ref, ["ant1", "ant2", "pol", "scan"]).select("ant1", "ant2", "pol", "scan", "chan", F.round(weight, 6).alias("weight"))
 
 
-@query("design_matrix", "SELECT DISTINCT ant1, ant2, a AS ant, CASE WHEN a IN (ant1, ant2) THEN 1 ELSE 0 END AS amp, CASE WHEN a = ant1 THEN 1 WHEN a = ant2 THEN -1 ELSE 0 END AS phase FROM vis, (SELECT CAST(unnest(range(1, 7)) AS INT) AS a)")
+@query("design_matrix", "SELECT DISTINCT ant1, ant2, a AS ant, CASE WHEN a IN (ant1, ant2) THEN 1 ELSE 0 END AS amp, CASE WHEN a = ant1 THEN 1 WHEN a = ant2 THEN -1 ELSE 0 END AS phase FROM vis, (SELECT CAST(unnest(range(1, 8)) AS INT) AS a)")
 def _(vis):
-    rows = vis.select("ant1", "ant2").distinct().withColumn("ant", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    rows = vis.select("ant1", "ant2").distinct().withColumn("ant", F.explode(F.sequence(F.lit(1), F.lit(ANTENNAS))))
     a, b = F.col("ant") == F.col("ant1"), F.col("ant") == F.col("ant2")
     return rows.select("*", (a | b).cast("int").alias("amp"), F.when(a, 1).when(b, -1).otherwise(0).alias("phase"))
 
 
-@query("horner", "SELECT s_suppkey, round(0.727119 + 0.00947339 * el - 0.00008222 * el * el, 6) AS gain FROM (SELECT s_suppkey, 45 + 40 * sin(s_acctbal) AS el FROM supplier)", vis=False)
+@query("horner", "SELECT s_suppkey, round(0.81::DOUBLE + 0.0071::DOUBLE * el - 0.000063::DOUBLE * el * el, 6) AS gain FROM (SELECT s_suppkey, 45 + 40 * sin(s_acctbal) AS el FROM supplier)", vis=False)
 def _(spark, sf_dir):
-    poly = F.array(F.lit(0.727119), F.lit(0.00947339), F.lit(-0.00008222))
+    poly = F.array(F.lit(0.81), F.lit(0.0071), F.lit(-0.000063))
     el = 45 + 40 * F.sin("s_acctbal")
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.round(astro.elevation_gain(poly, el), 6).alias("gain"))
 
@@ -292,42 +318,27 @@ def _(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
 
 
-@query("tsys_window_mean", """SELECT station, name, round(avg(value), 6) AS mean, count(*) AS n FROM (SELECT event_type AS station, epoch_us(ts) / 1e6 AS t, value FROM events) e
- JOIN (SELECT DISTINCT event_type AS station, CAST(floor(epoch_us(ts) / 1e6 / 86400) AS BIGINT) AS name FROM events) w USING (station) WHERE t BETWEEN name * 86400.0 AND name * 86400.0 + 3600.0 GROUP BY ALL""", vis=False)
+@query("tsys_window_mean", f"""WITH {CALIBRATION_SQL}, w AS (SELECT DISTINCT station, CAST(floor(t / 86400) AS BIGINT) AS name FROM cal)
+SELECT w.station, name, round(coalesce(avg(value), 'nan'::DOUBLE), 6) AS mean, count(value) AS n FROM w LEFT JOIN cal e ON e.station = w.station AND isfinite(value) AND t BETWEEN name * 86400.0 AND name * 86400.0 + 1200.0 GROUP BY ALL""", vis=False)
 def _(spark, sf_dir):
     rows = calibration(spark, sf_dir)
     days = rows.select("station", F.floor(F.col("t") / 86400).alias("name")).distinct()
-    windows = days.select("station", "name", (F.col("name") * 86400.0).cast("double").alias("lo"), (F.col("name") * 86400.0 + 3600.0).cast("double").alias("hi"))
+    windows = days.select("station", "name", (F.col("name") * 86400.0).cast("double").alias("lo"), (F.col("name") * 86400.0 + 1200.0).cast("double").alias("hi"))
     return calibrate.window_mean(rows, windows).select("station", "name", *r("mean"), "n")
 
 
-@query("apply_elementwise", "SELECT partition_key, count(*) AS n, round(sum(CASE WHEN w > 0 THEN w ELSE 0.0 END), 4) AS weight FROM vis GROUP BY ALL")
-def _(vis):
-    return vis.groupBy("partition_key").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.when(weighted(), F.col("w")).otherwise(0.0)), 4).alias("weight"))
-
-
-_EVENTS = "(SELECT event_type AS station, epoch_us(ts) / 1e6 AS t, value, event_id, user_id FROM events)"
-
-
-@query("tsys_asof_interp", f"""WITH r AS (SELECT station, t, min(value) AS v FROM {_EVENTS} GROUP BY ALL), p AS (SELECT DISTINCT station, CAST(floor(t / 86400) AS BIGINT) AS day FROM r),
+@query("tsys_asof_interp", f"""WITH {CALIBRATION_SQL}, r AS (SELECT station, t, min(value) AS v FROM cal WHERE isfinite(value) GROUP BY ALL), p AS (SELECT DISTINCT station, CAST(floor(t / 86400) AS BIGINT) AS day FROM r),
 q AS (SELECT station, day, day * 86400.0::DOUBLE + 43200 AS t FROM p), a AS (SELECT q.*, r.t AS ta, r.v AS va FROM q ASOF LEFT JOIN r ON q.station = r.station AND q.t >= r.t),
 b AS (SELECT a.*, r.t AS tb, r.v AS vb FROM a ASOF LEFT JOIN r ON a.station = r.station AND a.t <= r.t)
 SELECT station, day, round(CASE WHEN ta IS NULL OR tb IS NULL THEN 'nan'::DOUBLE WHEN ta = tb THEN va ELSE va + (t - ta) / (tb - ta) * (vb - va) END, 5) AS value FROM b""", vis=False)
 def _(spark, sf_dir):
-    rows = calibration(spark, sf_dir).select("station", "t", "value")
+    rows = calibration(spark, sf_dir).where(finite(F.col("value"))).select("station", "t", "value")
     days = rows.select("station", F.floor(F.col("t") / 86400).alias("day")).distinct()
     points = days.select("station", "day", (F.col("day") * 86400.0 + 43200).cast("double").alias("t"))
     return calibrate.interpolate(rows, points).select("station", "day", *r("value", digits=5))
 
 
-@query("column_priority", """WITH c AS (SELECT event_type AS station, event_id AS "at", CAST(user_id % 5 AS INT) AS channel, CASE event_id % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'L' ELSE 'both' END AS pol FROM events WHERE event_id % 97 = 0),
-w AS (SELECT DISTINCT station, ch AS channel, p AS pol FROM (SELECT DISTINCT station FROM c), (SELECT CAST(unnest(range(1, 8)) AS INT) AS ch), (VALUES ('R'), ('L')) t(p))
-SELECT station, channel, pol, coalesce((SELECT "at" FROM c WHERE c.station = w.station AND c.channel IN (w.channel, 0) AND c.pol IN (w.pol, 'both') ORDER BY c.channel <> w.channel, c.pol = 'both', "at" LIMIT 1), 0) AS place FROM w""", vis=False)
-def _(spark, sf_dir):
-    return _column_priority(spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 97 = 0"))
-
-
-@query("column_priority_all", """WITH c AS (SELECT event_type AS station, event_id AS "at", CAST(user_id % 5 AS INT) AS channel, CASE event_id % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'L' ELSE 'both' END AS pol FROM events),
+@query("column_priority", """WITH c AS (SELECT event_type AS station, event_id AS "at", CAST(user_id % 5 AS INT) AS channel, CASE event_id % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'L' ELSE 'both' END AS pol FROM events),
 g AS (SELECT station, channel, pol, min("at") AS "at" FROM c GROUP BY ALL),
 w AS (SELECT station, ch AS channel, p AS pol FROM (SELECT DISTINCT station FROM c), (SELECT CAST(unnest(range(1, 8)) AS INT) AS ch), (VALUES ('R'), ('L')) t(p))
 SELECT w.station, w.channel, w.pol, coalesce(g1."at", g2."at", g3."at", g4."at", 0) AS place FROM w
@@ -342,11 +353,3 @@ def _column_priority(events: DataFrame) -> DataFrame:
     columns = events.select(F.col("event_type").alias("station"), F.col("event_id").alias("at"), (F.col("user_id") % 5).cast("int").alias("channel"), pol.alias("pol"))
     wanted = columns.select("station").distinct().select("station", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("channel")).select("*", F.explode(F.array(F.lit("R"), F.lit("L"))).alias("pol"))
     return calibrate.pick_column(columns, wanted).withColumnRenamed("at", "place")
-
-
-@query("collapsed", f"""WITH t AS ({_TRACK.format(x="sqrt(x * x + y * y) / W AS amp")}),
-m AS (SELECT a.ant1, a.ant2, a.pol, a.chan, a.amp, CASE WHEN count(b.amp) FILTER (abs(a.chan - b.chan) BETWEEN 1 AND 2) >= 2 THEN median(b.amp) FILTER (abs(a.chan - b.chan) BETWEEN 1 AND 2) ELSE median(b.amp) END AS scale
-FROM t a JOIN t b USING (ant1, ant2, pol) GROUP BY ALL)
-SELECT ant1, ant2, pol, chan, round(amp, 6) AS amp FROM m WHERE amp < 0.01 OR amp < 0.9 * scale""")
-def _(vis):
-    return diagnostics.collapsed(_track(vis, "amp"), "ant1", "ant2", "pol", fraction=0.9).select("ant1", "ant2", "pol", "chan", *r("amp"))

@@ -5,50 +5,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BASELINES = "(l_suppkey % 6) < (l_partkey % 6)"
+ANTENNAS, CHANNELS = 7, 7
 
 
 def visibilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visibilities from line items: six antennas, seven channels, four polarisations, a scan for each month."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(BASELINES)
-    phase = 0.37 * F.col("l_linenumber") + 0.001 * F.col("l_quantity")
+    """A visibility of each line item: seven antennas, seven channels, four polarisations, two windows, a scan for each
+    month. Some are NaN or infinite, as are some weights; others have weights under zero."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    a = F.col("l_suppkey") % ANTENNAS
+    b = (a + 1 + F.col("l_partkey") % (ANTENNAS - 1)) % ANTENNAS
+    q = F.col("l_quantity")
+    phase = 0.37 * F.col("l_linenumber") + 0.001 * q
     amp = F.col("l_extendedprice") / 10000.0
     pol = F.when(F.col("l_returnflag") == "A", "PP").when(F.col("l_returnflag") == "R", "QQ").when(F.col("l_linestatus") == "O", "PQ").otherwise("QP")
     scan = (F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("int")
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    spw = F.concat(F.lit("spw_"), (F.col("l_orderkey") % 2).cast("string"))
     return rows.select(
-        ((F.col("l_suppkey") % 6) + 1).cast("int").alias("ant1"), ((F.col("l_partkey") % 6) + 1).cast("int").alias("ant2"),
-        F.col("l_linenumber").cast("int").alias("chan"), pol.alias("pol"), scan.alias("scan"), F.col("l_shipdate").cast("timestamp").alias("ts"),
+        (F.least(a, b) + 1).cast("int").alias("ant1"), (F.greatest(a, b) + 1).cast("int").alias("ant2"),
+        F.col("l_linenumber").cast("int").alias("chan"), pol.alias("pol"), scan.alias("scan"), F.col("l_shipdate").cast("timestamp").alias("ts"), spw.alias("spw"),
         F.concat(F.lit("3C"), (scan % 5).cast("string")).alias("source_name"), F.concat(F.lit("scan_"), scan.cast("string")).alias("partition_key"),
-        (amp * F.cos(phase)).alias("re"), (amp * F.sin(phase)).alias("im"), F.when(F.col("l_quantity") < 3, -1.0).otherwise(F.col("l_quantity")).alias("w"),
-        F.exp(F.col("l_tax")).alias("u"), F.exp(F.col("l_discount")).alias("v"), F.sin("l_quantity").alias("uw"),
+        F.when(q == 13, nan).otherwise(amp * F.cos(phase)).alias("re"), F.when(q == 23, inf).otherwise(amp * F.sin(phase)).alias("im"),
+        F.when(q < 3, -1.0).when(q == 17, nan).when(q == 19, inf).otherwise(q).alias("w"),
+        F.exp(F.col("l_tax")).alias("u"), F.when(q == 29, nan).otherwise(F.exp(F.col("l_discount"))).alias("v"), F.sin("l_quantity").alias("uw"),
     )
 
 
 def gains(spark: SparkSession) -> DataFrame:
-    """Gains of six antennas, two feeds and seven channels."""
-    ax = [spark.range(1, n + 1).select(F.col("id").cast("int").alias(c)) for c, n in (("ant", 6), ("feed", 2), ("chan", 7))]
+    """Gains by antenna, feed and channel; one is NaN, one zero and one missing."""
+    ax = [spark.range(1, n + 1).select(F.col("id").cast("int").alias(c)) for c, n in (("ant", ANTENNAS), ("feed", 2), ("chan", CHANNELS))]
     amp = F.exp(0.05 * F.col("ant") + 0.01 * F.col("chan") + 0.02 * F.col("feed"))
+    amp = F.when(F.expr("ant = 3 AND feed = 2 AND chan = 5"), float("nan")).when(F.expr("ant = 4 AND feed = 1 AND chan = 2"), 0.0).otherwise(amp)
     phase = 0.1 * F.col("ant") - 0.03 * F.col("chan") * F.col("feed")
-    # 84 rows, whatever the input
-    return ax[0].crossJoin(ax[1]).crossJoin(ax[2]).select("ant", "feed", "chan", (amp * F.cos(phase)).alias("g_re"), (amp * F.sin(phase)).alias("g_im"))
+    # 98 rows, whatever the input
+    every = ax[0].crossJoin(ax[1]).crossJoin(ax[2]).where("NOT (ant = 6 AND feed = 2 AND chan = 7)")
+    return every.select("ant", "feed", "chan", (amp * F.cos(phase)).alias("g_re"), (amp * F.sin(phase)).alias("g_im"))
 
 
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Time series of system temperatures from events: station, t (seconds), value."""
+    """Time series of system temperatures from events: station, t (seconds), value (some NaN), event_id, user_id."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return rows.select(F.col("event_type").alias("station"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("value"), "event_id")
+    value = F.when(F.col("event_id") % 11 == 0, float("nan")).otherwise(F.col("value"))
+    return rows.select(F.col("event_type").alias("station"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), value.alias("value"), "event_id", "user_id")
 
 
-VIS_SQL = f"""vis AS (SELECT CAST((l_suppkey % 6) + 1 AS INT) AS ant1, CAST((l_partkey % 6) + 1 AS INT) AS ant2, CAST(l_linenumber AS INT) AS chan,
+VIS_SQL = f"""raw_vis AS (SELECT *, l_suppkey % {ANTENNAS} AS a_, (l_suppkey % {ANTENNAS} + 1 + l_partkey % {ANTENNAS - 1}) % {ANTENNAS} AS b_ FROM lineitem),
+vis AS (SELECT *, w > 0 AND isfinite(w) AS ok, w > 0 AND isfinite(w) AND isfinite(re) AS ok1, w > 0 AND isfinite(w) AND isfinite(re) AND isfinite(im) AS ok2 FROM (
+ SELECT CAST(least(a_, b_) + 1 AS INT) AS ant1, CAST(greatest(a_, b_) + 1 AS INT) AS ant2, CAST(l_linenumber AS INT) AS chan,
  CASE WHEN l_returnflag = 'A' THEN 'PP' WHEN l_returnflag = 'R' THEN 'QQ' WHEN l_linestatus = 'O' THEN 'PQ' ELSE 'QP' END AS pol,
- CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INT) AS scan, l_shipdate AS ts,
+ CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INT) AS scan, l_shipdate AS ts, 'spw_' || CAST(l_orderkey % 2 AS VARCHAR) AS spw,
  '3C' || CAST((year(l_shipdate) * 100 + month(l_shipdate)) % 5 AS VARCHAR) AS source_name, 'scan_' || CAST(year(l_shipdate) * 100 + month(l_shipdate) AS VARCHAR) AS partition_key,
- l_extendedprice / 10000.0 * cos(0.37 * l_linenumber + 0.001 * l_quantity) AS re, l_extendedprice / 10000.0 * sin(0.37 * l_linenumber + 0.001 * l_quantity) AS im,
- CASE WHEN l_quantity < 3 THEN -1.0 ELSE l_quantity END AS w, exp(l_tax) AS u, exp(l_discount) AS v, sin(l_quantity) AS uw
- FROM lineitem WHERE {BASELINES})"""
+ CASE WHEN l_quantity = 13 THEN 'nan'::DOUBLE ELSE l_extendedprice / 10000.0 * cos(0.37 * l_linenumber + 0.001 * l_quantity) END AS re,
+ CASE WHEN l_quantity = 23 THEN 'inf'::DOUBLE ELSE l_extendedprice / 10000.0 * sin(0.37 * l_linenumber + 0.001 * l_quantity) END AS im,
+ CASE WHEN l_quantity < 3 THEN -1.0 WHEN l_quantity = 17 THEN 'nan'::DOUBLE WHEN l_quantity = 19 THEN 'inf'::DOUBLE ELSE l_quantity END AS w,
+ exp(l_tax) AS u, CASE WHEN l_quantity = 29 THEN 'nan'::DOUBLE ELSE exp(l_discount) END AS v, sin(l_quantity) AS uw FROM raw_vis))"""
 
-GAIN_SQL = """g AS (SELECT CAST(a AS INT) AS ant, CAST(f AS INT) AS feed, CAST(c AS INT) AS chan, exp(0.05 * a + 0.01 * c + 0.02 * f) * cos(0.1 * a - 0.03 * c * f) AS g_re, exp(0.05 * a + 0.01 * c + 0.02 * f) * sin(0.1 * a - 0.03 * c * f) AS g_im
- FROM range(1, 7) t(a), range(1, 3) u(f), range(1, 8) x(c)),
+GAIN_SQL = f"""g AS (SELECT ant, feed, chan, amp * cos(0.1 * ant - 0.03 * chan * feed) AS g_re, amp * sin(0.1 * ant - 0.03 * chan * feed) AS g_im FROM (SELECT CAST(a AS INT) AS ant, CAST(f AS INT) AS feed, CAST(c AS INT) AS chan,
+ CASE WHEN a = 3 AND f = 2 AND c = 5 THEN 'nan'::DOUBLE WHEN a = 4 AND f = 1 AND c = 2 THEN 0.0 ELSE exp(0.05 * a + 0.01 * c + 0.02 * f) END AS amp
+ FROM range(1, {ANTENNAS + 1}) t(a), range(1, 3) u(f), range(1, {CHANNELS + 1}) x(c)) WHERE NOT (ant = 6 AND feed = 2 AND chan = 7)),
 vg AS (SELECT v.*, a.g_re AS ar, a.g_im AS ai, b.g_re AS br, b.g_im AS bi, a.g_re * b.g_re + a.g_im * b.g_im AS kr, a.g_im * b.g_re - a.g_re * b.g_im AS ki
- FROM vis v JOIN g a ON a.ant = ant1 AND a.chan = v.chan AND a.feed = CASE WHEN substr(pol, 1, 1) = 'P' THEN 1 ELSE 2 END
- JOIN g b ON b.ant = ant2 AND b.chan = v.chan AND b.feed = CASE WHEN substr(pol, 2, 1) = 'P' THEN 1 ELSE 2 END)"""
+ FROM vis v LEFT JOIN g a ON a.ant = ant1 AND a.chan = v.chan AND a.feed = CASE WHEN substr(pol, 1, 1) = 'P' THEN 1 ELSE 2 END
+ LEFT JOIN g b ON b.ant = ant2 AND b.chan = v.chan AND b.feed = CASE WHEN substr(pol, 2, 1) = 'P' THEN 1 ELSE 2 END)"""
+
+#: Over ``vg``: ``model``, whether the sample and its gains are fit for sums of the solver.
+MODEL_SQL = "(ok2 AND coalesce(isfinite(kr * kr + ki * ki) AND kr * kr + ki * ki > 0, false))"
+CALIBRATION_SQL = "cal AS (SELECT event_type AS station, epoch_us(ts) / 1e6 AS t, CASE WHEN event_id % 11 = 0 THEN 'nan'::DOUBLE ELSE value END AS value, event_id, user_id FROM events)"

@@ -32,7 +32,7 @@ def test_query(spark, db, name):
     assert plain(map(tuple, got.collect())) == plain(db.sql(f"SELECT {', '.join(got.columns)} FROM ({SQL[name]})").fetchall())
 
 
-def test_column_priority_all_reads_every_event(spark, db):
+def test_column_priority_reads_every_event(spark, db):
     first, best = {}, {}
     for at, station, user in db.sql("SELECT event_id, event_type, user_id FROM events").fetchall():
         key = (station, user % 5, ("R", "L", "both")[at % 3])
@@ -42,4 +42,4 @@ def test_column_priority_all_reads_every_event(spark, db):
             for pol in "RL":
                 tries = [(station, c, p) for c in (channel, 0) for p in (pol, "both")]
                 best[station, channel, pol] = next((first[k] for k in tries if k in first), 0)
-    assert {(r.station, r.channel, r.pol): r.place for r in QUERIES["column_priority_all"](spark, DATA).collect()} == best
+    assert {(r.station, r.channel, r.pol): r.place for r in QUERIES["column_priority"](spark, DATA).collect()} == best
