@@ -81,7 +81,7 @@ def _cube(rows: pd.DataFrame, options: Options) -> tuple[np.ndarray, np.ndarray,
     rows = rows[rows["pol"].isin(options.pols)]
     b = [place[p] for p in zip(rows["ant1"] - 1, rows["ant2"] - 1)]
     at = (np.searchsorted(slots, rows["slot"]), b, [options.pols.index(p) for p in rows["pol"]], rows["chan"].to_numpy() - 1)
-    v[at] = rows["re"].to_numpy() + 1j * rows["im"].to_numpy()
+    v.real[at], v.imag[at] = rows["re"].to_numpy(), rows["im"].to_numpy()
     w[at] = rows["w"].to_numpy()
     return v, w, options.setup(pairs), slots, centers
 
@@ -108,14 +108,14 @@ def solve_bandpass(data: DataFrame, options: Options) -> DataFrame:
     With options.seed the solution starts from random gains instead of the channels' ratios.
     """
 
-    def template(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def template(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         v, w, setup, _, _ = _cube(rows, options)
         g, solved = _start(v, w, setup, options.seed, 0)
         out = _table(key[0], -1, 0.0, g, solved)
         out["support"] = kernels.support(w, setup, parallel=True).ravel()
         return out
 
-    def scan(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def scan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         v, w, setup, slots, centers = _cube(rows, options)
         g, solved = _start(v, w, setup, options.seed, 1 + int(slots[0]))
         return _table(key[0], int(slots[0]), float(centers[0]), g, solved)

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from interfera.plans.queries import QUERIES, SQL
+from interfera.plans.all import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 
@@ -43,3 +43,11 @@ def test_column_priority_reads_every_event(spark, db):
                 tries = [(station, c, p) for c in (channel, 0) for p in (pol, "both")]
                 best[station, channel, pol] = next((first[k] for k in tries if k in first), 0)
     assert {(r.station, r.channel, r.pol): r.place for r in QUERIES["column_priority"](spark, DATA).collect()} == best
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
+def test_rows_alone(spark, name):
+    """Solutions, which SQL can't state: a gain for each antenna, feed, channel and scan."""
+    got = QUERIES[name](spark, DATA)
+    scans = QUERIES["leaves"](spark, DATA).count()
+    assert got.count() == scans * 7 * 2 * 7 and got.where("isnan(g_re)").count() == 0
