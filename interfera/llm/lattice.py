@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import itertools
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,29 @@ from interfera.llm.store import checkpoint, small, small_batches, table, tidy
 from interfera.llm.words import mix
 
 LEAST = 0.9
-#: Two vectors of cosine 0.9 meet in a table with a chance of about 0.7. More lattice points
-#: for a table (POINTS) make its cells smaller, for more vectors; they ask for more tables.
-TABLES, PROBES, POINTS, SCALE = 10, 8, 1, 0.62
 BLOCK = 2048
 
 
+class Plan(NamedTuple):
+    """points: lattice points for a table, which make its cells smaller; scale: the width of a cell. Two vectors of
+    cosine 0.9 in 64 dimensions meet in a table with a chance of ``meet``, unlike ones with a chance of ``stray``."""
+
+    points: int
+    tables: int
+    probes: int
+    scale: float
+    meet: float
+    stray: float
+
+
+#: By the number of vectors that they're for; a pair of cosine 0.9 is missed with a chance of 5e-7 and 2e-6.
+PLANS = [(500_000, Plan(1, 8, 8, 0.62, 0.84, 1.1e-2)), (1 << 63, Plan(2, 20, 16, 0.75, 0.48, 6e-4))]
+
+
+def plan_for(n: int) -> Plan:
+    return next(plan for most, plan in PLANS if n <= most)
+
+
 @cache
 def _minimal() -> np.ndarray:
     """The 240 shortest vectors of E8."""
@@ -60,11 +78,12 @@ def decode(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _axes(size: int, t: int) -> np.ndarray:
+def _axes(size: int, t: int, points: int, scale: float) -> np.ndarray:
+    """A row for each axis."""
     rng = np.random.default_rng([8, size, t])
-    width = max(size, 8 * POINTS)
-    q, _ = np.linalg.qr(rng.normal(size=(width, 8 * POINTS)))
-    return q[:size] * np.sqrt(width / 8) / SCALE
+    width = max(size, 8 * points)
+    q, _ = np.linalg.qr(rng.normal(size=(width, 8 * points)))
+    return np.ascontiguousarray((q[:size] * np.sqrt(width / 8) / scale).T)
 
 
 def _name(points: np.ndarray, t: int) -> np.ndarray:
@@ -74,39 +93,40 @@ def _name(points: np.ndarray, t: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def cells(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The home cell in each table (n, TABLES) and the probed ones (n, TABLES, PROBES) of unit vectors."""
+def cells(unit: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """The home cell in each table (n, tables) and the probed ones (n, tables, probes) of unit vectors. A vector's cells
+    don't depend on the others'."""
     n = len(unit)
-    homes, probes = np.empty((n, TABLES), np.int64), np.empty((n, TABLES, PROBES), np.int64)
-    for t in range(TABLES):
-        x = unit @ _axes(unit.shape[1], t)
-        point = np.concatenate([decode(x[:, 8 * g : 8 * g + 8]) for g in range(POINTS)], axis=1)
-        gain = np.concatenate([(x - point)[:, 8 * g : 8 * g + 8] @ _minimal().T for g in range(POINTS)], axis=1)
-        # nearest neighbours first; a fixed order among equals
-        best = np.argsort(-gain, axis=1, kind="stable")[:, :PROBES]
+    homes, probes = np.empty((n, plan.tables), np.int64), np.empty((n, plan.tables, plan.probes), np.int64)
+    for t in range(plan.tables):
+        x = np.einsum("ij,kj->ik", unit, _axes(unit.shape[1], t, plan.points, plan.scale))
+        point = np.concatenate([decode(x[:, 8 * g : 8 * g + 8]) for g in range(plan.points)], axis=1)
+        gain = np.concatenate([(x - point)[:, 8 * g : 8 * g + 8] @ _minimal().T for g in range(plan.points)], axis=1)
+        # the nearest neighbours, in any order; sums of eight are rounded, as their last digits may vary
+        best = np.argpartition(-np.round(gain, 9), plan.probes - 1, axis=1)[:, : plan.probes]
         homes[:, t] = _name(point, t)
-        for k in range(PROBES):
+        for k in range(plan.probes):
             moved, g = point.copy(), best[:, k] // 240
-            for i in range(POINTS):
-                rows = g == i
+            for i in range(plan.points):
+                rows = np.flatnonzero(g == i)
                 moved[rows, 8 * i : 8 * i + 8] += _minimal()[best[rows, k] % 240]
             probes[:, t, k] = _name(moved, t)
     return homes, probes
 
 
-def _units(vectors: list[bytes]) -> np.ndarray:
-    x = np.array([np.frombuffer(v, dtype="<f8") for v in vectors])
+def _units(vectors: list[bytes], kind: str) -> np.ndarray:
+    x = np.array([np.frombuffer(v, dtype=kind) for v in vectors], dtype=np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _rows_of(x: pa.Array) -> list[bytes | None]:
-    """Each vector as bytes; None for those that link with nothing."""
+def _rows_of(x: pa.Array, kind: str) -> list[bytes | None]:
+    """Each vector as bytes, doubles or, if it was made of them, singles; None for those that link with nothing."""
     out = []
     for v in x.to_pylist():
-        a = None if v is None or not v or any(c is None for c in v) else np.array(v, dtype="<f8")
+        a = None if v is None or not v or any(c is None for c in v) else np.array(v, dtype=kind)
         if a is not None and np.isfinite(a).all() and (top := np.abs(a).max()) > 0:
-            a = a / top  # so that no square is too large or small
-            out.append((a + 0.0).tobytes())
+            a = a if kind == "<f4" else a / top  # so that no square of doubles is too large or small
+            out.append((a + a.dtype.type(0)).tobytes())
         else:
             out.append(None)
     return out
@@ -126,12 +146,12 @@ def _first_meeting(ids: tuple[np.ndarray, np.ndarray], of: tuple[np.ndarray, np.
     return out & np.where(same, role == 0, np.where(from_a, role == 1, role == 2))
 
 
-def _compare(cell: pa.Table) -> pa.Table:
+def _compare(cell: pa.Table, plan: Plan, kind: str) -> pa.Table:
     """Columns b, i, j, t, side (0: left, 1: right at home, 2: right, a prober), id, m and x of a cell's blocks i, j."""
     t, diagonal = cell["t"][0].as_py(), cell["i"][0].as_py() == cell["j"][0].as_py()
     side = cell["side"].to_numpy()
     ids, many = cell["id"].to_numpy(), cell["m"].to_numpy()
-    unit = _units(cell["x"].to_pylist())
+    unit = _units(cell["x"].to_pylist(), kind)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
     found_a, found_b, roles = [], [], []
     others = [(right, side[right])] + ([(left, np.zeros(len(left), int))] if diagonal else [])
@@ -150,7 +170,7 @@ def _compare(cell: pa.Table) -> pa.Table:
     if found_a and len(a := np.concatenate(found_a)):
         b, role = np.concatenate(found_b), np.concatenate(roles)
         some, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-        homes, probes = cells(unit[some])
+        homes, probes = cells(unit[some], plan)
         pa_, pb_ = place[: len(a)], place[len(a) :]
         links = forest(ids[a].tolist(), ids[b].tolist()) if len(a) < 200_000 else _forest(ids, a, b)
         for k in range(0, len(a), 1 << 15):
@@ -180,18 +200,18 @@ def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict:
     return dict(zip(ids[some].tolist(), low[some].tolist()))
 
 
-def _spread(rows: DataFrame) -> DataFrame:
+def _spread(rows: DataFrame, plan: Plan, kind: str) -> DataFrame:
     """rows: id, m, x. A row for the home and each probe in each table: b (cell), t, probe, id, m, x."""
 
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                homes, probes = cells(_units(part.column(2).to_pylist()))
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                homes, probes = cells(_units(part.column(2).to_pylist(), kind), plan)
                 every = np.concatenate([homes[:, :, None], probes], axis=2)
-                index = pa.array(np.repeat(np.arange(part.num_rows), TABLES * (1 + PROBES)))
-                tables = np.tile(np.repeat(np.arange(TABLES), 1 + PROBES), part.num_rows).astype(np.int32)
-                probe = np.tile(np.arange(1 + PROBES) > 0, part.num_rows * TABLES)
+                index = pa.array(np.repeat(np.arange(part.num_rows), plan.tables * (1 + plan.probes)))
+                tables = np.tile(np.repeat(np.arange(plan.tables), 1 + plan.probes), part.num_rows).astype(np.int32)
+                probe = np.tile(np.arange(1 + plan.probes) > 0, part.num_rows * plan.tables)
                 spread = part.take(index)
                 yield pa.RecordBatch.from_arrays([pa.array(every.reshape(-1)), pa.array(tables), pa.array(probe), *spread.columns], names=["b", "t", "probe", "id", "m", "x"])
 
@@ -209,21 +229,22 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     """
     top = (1 << 63) - 1
     small_batches(vectors.sparkSession)
-    rows = vectors.select(F.coalesce(F.col(key).cast("long"), F.lit(top)).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    kind = "<f4" if vectors.select(vector).dtypes[0][1] == "array<float>" else "<f8"
+    rows = vectors.select(F.coalesce(F.col(key).cast("long"), F.lit(top)).alias("k"), F.col(vector).cast("array<float>" if kind == "<f4" else "array<double>").alias("v"))
 
     def pack(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_rows_of(batch.column(1)), pa.binary())], names=["k", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_rows_of(batch.column(1), kind), pa.binary())], names=["k", "x"])
 
     # a class of equal vectors is named by a hash of them, not by a key: unlike rows may have the same key, or none
     every = checkpoint(rows.mapInArrow(pack, "k bigint, x binary").withColumn("f", F.when(F.col("x").isNotNull(), F.xxhash64("x"))))
     classes = every.filter("x IS NOT NULL").groupBy("f").agg(F.min("k").alias("c"), F.count(F.lit(1)).alias("m"))
     shape = every.filter("x IS NOT NULL").select("f", "x", F.length("x").alias("size"), F.col("k").alias("c"))
     reps = shape.join(classes, ["f", "c"]).dropDuplicates(["f"])
-    sizes = [r["size"] for r in reps.select("size").distinct().orderBy("size").collect()]
+    sizes = reps.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()  # a row for each length of vectors
     counts = links = None
-    for size in sizes:
-        found = _found(reps.filter(F.col("size") == size).select(F.col("f").alias("id"), "m", "x"))
+    for size, n in sizes:
+        found = _found(reps.filter(F.col("size") == size).select(F.col("f").alias("id"), "m", "x"), plan_for(n), kind)
         n, e = found.filter("v IS NULL").select("u", "n"), found.filter("v IS NOT NULL").select("u", "v")
         counts, links = (n, e) if counts is None else (counts.unionByName(n), links.unionByName(e))
     if counts is None:
@@ -239,15 +260,15 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     return out.select(shown("k").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), shown("c").alias("component_id"), (F.col("k") == F.col("c")).alias("kept"))
 
 
-def _found(reps: DataFrame) -> DataFrame:
-    spread = _spread(reps)
+def _found(reps: DataFrame, plan: Plan, kind: str) -> DataFrame:
+    spread = _spread(reps, plan, kind)
     crowd = spread.groupBy("b").agg(F.sum((~F.col("probe")).cast("long")).alias("home"), F.count(F.lit(1)).alias("all")).filter("home > 0 AND all > 1")
     crowd = checkpoint(crowd.select("b", F.ceil(F.col("all") / BLOCK).cast("int").alias("parts")))
     keyed = spread.join(small(crowd, crowd.count()), "b").withColumn("p", F.expr("cast(pmod(xxhash64(id), parts) AS int)"))
     as_left = keyed.filter("NOT probe").select("*", F.explode(F.expr("sequence(0, parts - 1)")).alias("j")).select("b", F.col("p").alias("i"), "j", "t", F.lit(0).alias("side"), "id", "m", "x")
     to = F.expr("CASE WHEN probe THEN sequence(0, parts - 1) WHEN p > 0 THEN sequence(0, p - 1) ELSE cast(array() AS array<int>) END")
     as_right = keyed.select("*", F.explode(to).alias("i")).select("b", "i", F.col("p").alias("j"), "t", F.expr("CASE WHEN probe THEN 2 ELSE 1 END").alias("side"), "id", "m", "x")
-    return checkpoint(as_left.unionByName(as_right).groupBy("b", "i", "j").applyInArrow(_compare, "u bigint, v bigint, n bigint"))
+    return checkpoint(as_left.unionByName(as_right).groupBy("b", "i", "j").applyInArrow(lambda cell: _compare(cell, plan, kind), "u bigint, v bigint, n bigint"))
 
 
 def op3_e8_lattice(spark, sf_dir: str) -> DataFrame:
