@@ -44,7 +44,7 @@ LOOSE = {
 _HAS = {"email": r"@|[\x20\[(]at[\x20\])]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
 _OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 _CONTEXT = 32
-PRECISION = 0.98
+PRECISION = 0.995
 TREES, RATE, RIDGE = 24, 0.3, 1.0
 #: Confirmed proposals of a kind that calibration asks for, to select any others of that kind.
 ENOUGH = 20
@@ -148,7 +148,7 @@ def _taught(i: int, kind: str) -> Column:
 
 def propose(rows: DataFrame) -> DataFrame:
     """rows: k and t (not null), and any others. Adds a column of confirmed spans for each kind; ``more``, the proposals
-    as k (kind), s, e, x (number), y (confirmed, 0 or 1), without those inside a base span; and ``taught``, what to learn
+    as k (kind), s, e, x (number), y (confirmed, 0 or 1), without those that overlap a base span; and ``taught``, what to learn
     from beside them."""
     for kind, (pattern, has) in STRICT.items():
         rows = find(rows, "t", kind, pattern, F.col("t").rlike("[0-9]") if has is None else F.contains("t", F.lit(has)), _CONTEXT)
@@ -160,9 +160,13 @@ def propose(rows: DataFrame) -> DataFrame:
     base = F.concat(*[F.transform(k, lambda b: F.struct(b["s"].alias("s"), F.lit(0).alias("own"), b["e"].alias("e"), F.lit(0).alias("k"), F.lit(0).alias("x"), F.lit(0).alias("y"))) for k in KINDS])
 
     def outside(every: Column) -> Column:
-        """Of base spans (own 0) and proposals (own 1) in order, the proposals that end after all base spans from before."""
-        ends = F.transform(every, lambda v: F.when(v["own"] == 0, v["e"]).otherwise(0))
-        return let(maxima(ends), lambda top: F.filter(every, lambda v, i: (v["own"] == 1) & (v["e"] > F.get(top, i))))
+        """Of base spans (own 0) and proposals (own 1) in order, the proposals that overlap no base span."""
+        is_base = lambda v: v["own"] == 0
+        ends = F.transform(every, lambda v: F.when(is_base(v), v["e"]).otherwise(0))
+        # from the right, how far each base span's start is from the largest number, so that the next start is the most
+        starts_ = F.transform(F.reverse(every), lambda v: F.when(is_base(v), F.lit(_LAST) - v["s"]).otherwise(0))
+        free = lambda top, next_: F.filter(every, lambda v, i: (v["own"] == 1) & (v["s"] >= F.get(top, i)) & (v["e"] <= F.lit(_LAST) - F.get(next_, F.size(every) - 1 - i)))
+        return let(maxima(ends), lambda top: let(maxima(starts_), lambda next_: free(top, next_)))
 
     some = sum((F.size(f"loose_{k}") for k in KINDS), F.lit(0))
     rows = rows.withColumn("more", F.when(some > 0, let(F.array_sort(F.concat(base, made)), outside)).otherwise(F.array().cast(_MORE)))
@@ -172,6 +176,7 @@ def propose(rows: DataFrame) -> DataFrame:
     return rows.drop(*[f"loose_{k}" for k in KINDS])
 
 
+_LAST = (1 << 31) - 1
 _WITH_BITS = "array<struct<s:int,e:int,m:string,b:int,a:string>>"
 _MORE = "array<struct<s:int,own:int,e:int,k:int,x:int,y:int>>"
 
