@@ -39,7 +39,7 @@ def suffix_array(rank: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     bits = max(1, int(n).bit_length())
     step, order = 1, np.argsort(r, kind="stable")
     at = np.arange(n, dtype=np.uint64)
-    while step < depth:
+    while step < min(depth, n):
         after = np.zeros(n, dtype=np.uint64)
         after[: n - step] = r[step:]
         width = max(1, int(r.max(initial=0)).bit_length())
