@@ -322,7 +322,7 @@ def _(u: UVSet):
 
 
 @set_query("under_determined", f"""WITH {_DATA}, b AS (SELECT DISTINCT sl.spw, slot, ant1, ant2, CASE WHEN pol = 'PP' THEN 1 ELSE 2 END AS feed FROM da JOIN sl USING (key) WHERE w > 0 AND pol IN ('PP', 'QQ')),
-n AS (SELECT spw, slot, feed, count(*) AS n_baselines FROM b WHERE ant1 = 2 OR ant2 = 2 GROUP BY ALL) SELECT CAST(2 AS INT) AS ant, slot, feed, n_baselines, CAST({CHANNELS} AS INT) AS freedom FROM n WHERE n_baselines < 7 AND feed = 1 ORDER BY slot, feed LIMIT 1""")
+n AS (SELECT spw, slot, feed, count(*) AS n_baselines FROM b WHERE ant1 = 2 OR ant2 = 2 GROUP BY ALL) SELECT CAST(2 AS INT) AS ant, slot, feed, n_baselines, CAST({CHANNELS} AS INT) AS freedom FROM n WHERE n_baselines < 7 AND feed = 1 AND spw = 'spw_0' ORDER BY slot, feed LIMIT 1""")
 def _(u: UVSet):
     options = replace(_OPTIONS, min_baselines=7, stations={2: Station(reference=Feed(phase=Spec(per_scan=True)))})
     some = _dataset(u).where("spw = 'spw_0'")
