@@ -329,7 +329,7 @@ def _(u: UVSet):
     return bandpass.under_determined(some, options, 1)
 
 
-@set_query("uvfits_roundtrip", f"SELECT spw, {4 * CHANNELS} * count(DISTINCT (ti, ant1, ant2)) AS n, count(DISTINCT (ant1, ant2)) AS n_baseline FROM u WHERE source_name = '3C1' GROUP BY key, spw")
+@set_query("uvfits_roundtrip", f"SELECT 1e9 + 10.0 * CAST(substr(spw, 5) AS INT) AS freq, {4 * CHANNELS} * count(DISTINCT (ti, ant1, ant2)) AS n, count(DISTINCT (ant1, ant2)) AS n_baseline FROM u WHERE source_name = '3C1' GROUP BY key, spw")
 def _(u: UVSet):
     """One source's set, written and read again: a record for each time and baseline, with all products and channels, of
     weight 0 where there was no sample. The file goes to the folder that the session's checkpoints go to, or on one
@@ -344,5 +344,6 @@ def _(u: UVSet):
     vis = vis.na.fill(float("nan"), ["re", "im"])
     cards = (uvfits.Card("CTYPE3", "STOKES"), uvfits.Card("CRVAL3", -1.0), uvfits.Card("CDELT3", -1.0), uvfits.Card("CRPIX3", 1.0), uvfits.Card("CTYPE4", "FREQ"), uvfits.Card("CRVAL4", 1e9), uvfits.Card("OBJECT", "3C1"))
     path = uvfits.write_uvfits(f"{folder.removeprefix('file://')}/{uuid.uuid4().hex}.uvfits", replace(one, vis=vis, records=records, cards=cards))
-    again = uvfits.read_uvfits(spark, path)  # its scans are numbered anew
-    return _counted(again).join(again.partitions.select("partition_key", "spw"), "partition_key").select("spw", "n", "n_baseline")
+    again = uvfits.read_uvfits(spark, path)  # its scans and windows are numbered anew
+    setups = again.partitions.select("partition_key", "spw").join(again.setups.select("spw", F.element_at("freqs", 1).alias("freq")), "spw")
+    return _counted(again).join(setups, "partition_key").select("freq", "n", "n_baseline")
