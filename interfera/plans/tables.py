@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def visibilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("l_suppkey") % ANTENNAS
     b = (a + 1 + F.col("l_partkey") % (ANTENNAS - 1)) % ANTENNAS
     q = F.col("l_quantity")
-    phase = 0.37 * F.col("l_linenumber") + 0.001 * q
+    phase = 37 * F.col("l_linenumber").cast("long") / F.lit(100.0) + 0.001 * q  # SQL's 0.37 is a decimal: the product has no error
     amp = F.col("l_extendedprice") / 10000.0
     pol = F.when(F.col("l_returnflag") == "A", "PP").when(F.col("l_returnflag") == "R", "QQ").when(F.col("l_linestatus") == "O", "PQ").otherwise("QP")
     scan = (F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("int")
@@ -40,13 +42,13 @@ def visibilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gains(spark: SparkSession) -> DataFrame:
     """Gains by antenna, feed and channel; one is NaN, one zero and one missing."""
-    ax = [spark.range(1, n + 1).select(F.col("id").cast("int").alias(c)) for c, n in (("ant", ANTENNAS), ("feed", 2), ("chan", CHANNELS))]
-    amp = F.exp(0.05 * F.col("ant") + 0.01 * F.col("chan") + 0.02 * F.col("feed"))
-    amp = F.when(F.expr("ant = 3 AND feed = 2 AND chan = 5"), float("nan")).when(F.expr("ant = 4 AND feed = 1 AND chan = 2"), 0.0).otherwise(amp)
-    phase = 0.1 * F.col("ant") - 0.03 * F.col("chan") * F.col("feed")
-    # 98 rows, whatever the input
-    every = ax[0].crossJoin(ax[1]).crossJoin(ax[2]).where("NOT (ant = 6 AND feed = 2 AND chan = 7)")
-    return every.select("ant", "feed", "chan", (amp * F.cos(phase)).alias("g_re"), (amp * F.sin(phase)).alias("g_im"))
+    # 98 rows, whatever the input; made here, as exp() of the JVM and of SQL differ in the last digit
+    rows = [r for r in itertools.product(range(1, ANTENNAS + 1), (1, 2), range(1, CHANNELS + 1)) if r != (6, 2, 7)]
+    special = {(3, 2, 5): math.nan, (4, 1, 2): 0.0}
+    amp = [special.get((a, f, c), math.exp((5 * a + c + 2 * f) / 100)) for a, f, c in rows]
+    phase = [(10 * a - 3 * c * f) / 100 for a, f, c in rows]
+    columns = [pa.array(x, pa.int32()) for x in zip(*rows)] + [pa.array([g * part(p) for g, p in zip(amp, phase)]) for part in (math.cos, math.sin)]
+    return spark.createDataFrame(pa.table(columns, names=["ant", "feed", "chan", "g_re", "g_im"]))
 
 
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
