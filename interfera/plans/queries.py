@@ -18,7 +18,16 @@ _PARALLEL = "substr(pol, 1, 1) = substr(pol, 2, 1)"
 
 
 def r(*columns: str | Column, digits: int = 6) -> list[Column]:
-    return [F.round(F.col(c) if isinstance(c, str) else c, digits).alias(c) if isinstance(c, str) else F.round(c, digits) for c in columns]
+    return [rounded(F.col(c), digits).alias(c) if isinstance(c, str) else rounded(c, digits) for c in columns]
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """As SQL's round of doubles does, from x * 10^digits with halves away from zero; Spark's takes the digits that it
+    prints."""
+    many = x * F.lit(10.0**digits)
+    near = F.rint(many)
+    out = F.when(F.abs(many - near) == 0.5, many + 0.5 * F.signum(many)).otherwise(near) / F.lit(10.0**digits)
+    return F.when(F.abs(out) < float("inf"), out).otherwise(x)  # NaN is larger
 
 
 def query(name: str, sql: str | None = None, *, vis: bool = True, gain: bool = False):

@@ -1,7 +1,11 @@
 """Doubles that queries share with their SQL have the same bits, so that rounding them can't tell them apart."""
 
+import itertools
+
 import duckdb
+from pyspark.sql import functions as F
 
+from interfera.plans.queries import r
 from interfera.plans.tables import GAIN_SQL, VIS_SQL, gains, visibilities
 
 
@@ -23,3 +27,14 @@ def test_phases(spark, tmp_path):
     got = bits(visibilities(spark, str(tmp_path)).select("record", "re", "im").collect(), 1)
     assert got.keys() == want.keys() and len(got) == 7 * 43
     assert sum(got[k] != want[k] for k in got) <= 1
+
+
+def test_rounding(spark):
+    """Halves, what is next to them, and values without digits to round."""
+    halves = [s * (k + 0.5) / 1e6 for s, k in itertools.product((1, -1), range(2000))]
+    xs = halves + [5.0000005, 1e22, -2e-7, 0.0, float("nan"), float("inf"), -float("inf"), 1e305]
+    rows = list(enumerate(xs))
+    db = duckdb.connect()
+    db.execute("CREATE TABLE x (i BIGINT, x DOUBLE)").executemany("INSERT INTO x VALUES (?, ?)", rows)
+    got = spark.createDataFrame(rows, "i long, x double").select("i", *r(F.col("x")), *r(F.col("x"), digits=5)).collect()
+    assert bits(got, 1) == bits(db.sql("SELECT i, round(x, 6), round(x, 5) FROM x").fetchall(), 1)
