@@ -2,17 +2,18 @@
 
 A table projects unit vectors on random orthogonal axes, eight for a lattice point, and decodes them to the nearest
 points of the E8 lattice: the vector's home cell. It also probes the neighbouring cells whose points come next. Two
-vectors are candidates if, in any table, one's home is the other's home or among its probes; their cosine is then
-computed in double precision. A pair is counted in the first table in which it meets, so pairs needn't be gathered.
+vectors are candidates if, in any table, one's home is the other's home or among its probes; candidates near 0.9 in
+single precision have their cosine computed in double.
 
 Equal vectors are one class from the start. A cell of more than BLOCK vectors is compared in pairs of blocks, so no
-task gets a whole cell; tasks return counts and a spanning forest of the links they find, not the links.
+task gets a whole cell; tasks return a spanning forest of the links they find, not the links. These make the components;
+links are then counted within each, where every pair is compared in double precision, in blocks again.
 """
 
 from __future__ import annotations
 
 import itertools
-from functools import cache
+from functools import cache, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from interfera.llm.components import components, forest
+from interfera.llm.components import components
 from interfera.llm.store import checkpoint, small, small_batches, table, tidy
 from interfera.llm.words import mix
 
 LEAST = 0.9
-BLOCK = 2048
+BLOCK = 1 << 14
 
 
 class Plan(NamedTuple):
@@ -41,7 +42,7 @@ class Plan(NamedTuple):
 
 
 #: By the number of vectors that they're for; a pair of cosine 0.9 is missed with a chance of 5e-7 and 2e-6.
-PLANS = [(500_000, Plan(1, 8, 8, 0.62, 0.84, 1.1e-2)), (1 << 63, Plan(2, 20, 16, 0.75, 0.48, 6e-4))]
+PLANS = [(2_000_000, Plan(1, 8, 8, 0.62, 0.84, 1.1e-2)), (1 << 63, Plan(2, 20, 16, 0.75, 0.48, 6e-4))]
 
 
 def plan_for(n: int) -> Plan:
@@ -114,8 +115,11 @@ def cells(unit: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     return homes, probes
 
 
-def _units(vectors: list[bytes], kind: str) -> np.ndarray:
-    x = np.array([np.frombuffer(v, dtype=kind) for v in vectors], dtype=np.float64)
+def _units(vectors: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
+    """Unit vectors of packed ones, which are all of one length."""
+    v = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    ends = np.frombuffer(v.buffers()[1], dtype=np.int32)[v.offset : v.offset + len(v) + 1]
+    x = np.frombuffer(v.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(v), -1).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -132,90 +136,80 @@ def _rows_of(x: pa.Array, kind: str) -> list[bytes | None]:
     return out
 
 
-def _first_meeting(ids: tuple[np.ndarray, np.ndarray], of: tuple[np.ndarray, np.ndarray], t: int, role: np.ndarray, homes: np.ndarray, probes: np.ndarray) -> np.ndarray:
-    """Which pairs are to be counted in table t; role: 0, both at home here; 1, the first probes; 2, the second does."""
-    a, b = of
-    out = np.ones(len(a), dtype=bool)
-    for s in range(t):
-        ha, hb = homes[a, s], homes[b, s]
-        out &= ~((ha == hb) | (probes[a, s] == hb[:, None]).any(axis=1) | (probes[b, s] == ha[:, None]).any(axis=1))
-    ha, hb = homes[a, t], homes[b, t]
-    same = ha == hb
-    ab, ba = (probes[a, t] == hb[:, None]).any(axis=1), (probes[b, t] == ha[:, None]).any(axis=1)
-    from_a = ab & (~ba | (ids[0] < ids[1]))
-    return out & np.where(same, role == 0, np.where(from_a, role == 1, role == 2))
-
-
-def _compare(cell: pa.Table, plan: Plan, kind: str) -> pa.Table:
-    """Columns b, i, j, t, side (0: left, 1: right at home, 2: right, a prober), id, m and x of a cell's blocks i, j."""
-    t, diagonal = cell["t"][0].as_py(), cell["i"][0].as_py() == cell["j"][0].as_py()
-    side = cell["side"].to_numpy()
-    ids, many = cell["id"].to_numpy(), cell["m"].to_numpy()
-    unit = _units(cell["x"].to_pylist(), kind)
+def _compare(cell: pa.Table, kind: str) -> pa.Table:
+    """A spanning forest u, v of the links in a cell's blocks i, j; columns b, i, j, side (0: left, 1: right at home, 2:
+    right, a prober), id and x."""
+    diagonal = cell["i"][0].as_py() == cell["j"][0].as_py()
+    side, ids, unit = cell["side"].to_numpy(), cell["id"].to_numpy(), _units(cell["x"], kind)
+    single = unit.astype(np.float32)
+    least = LEAST - max(1e-4, 3e-7 * unit.shape[1])  # below what single precision may make of 0.9
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
-    found_a, found_b, roles = [], [], []
-    others = [(right, side[right])] + ([(left, np.zeros(len(left), int))] if diagonal else [])
-    for k in range(0, len(left), 512):
-        rows = left[k : k + 512]
-        for cols, what in others:
-            if not len(cols):
-                continue
-            a, b = np.nonzero(unit[rows] @ unit[cols].T >= LEAST)
-            ra, rb, w = rows[a], cols[b], what[b]
-            ok = (w != 0) | (ra < rb)
-            found_a.append(ra[ok])
-            found_b.append(rb[ok])
-            roles.append(np.where(w[ok] == 2, 2, 0))
-    n, links = np.zeros(len(ids), np.int64), {}
-    if found_a and len(a := np.concatenate(found_a)):
-        b, role = np.concatenate(found_b), np.concatenate(roles)
-        some, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-        homes, probes = cells(unit[some], plan)
-        pa_, pb_ = place[: len(a)], place[len(a) :]
-        links = forest(ids[a].tolist(), ids[b].tolist()) if len(a) < 200_000 else _forest(ids, a, b)
-        for k in range(0, len(a), 1 << 15):
-            at = slice(k, k + (1 << 15))
-            count = _first_meeting((ids[a[at]], ids[b[at]]), (pa_[at], pb_[at]), t, role[at], homes, probes)
-            np.add.at(n, a[at][count], many[b[at]][count])
-            np.add.at(n, b[at][count], many[a[at]][count])
-    hit = np.flatnonzero(n)
-    edges = [(u, v) for u, v in links.items() if u != v]
-    return pa.table({
-        "u": pa.array([*ids[hit].tolist(), *[u for u, _ in edges]], pa.int64()), "v": pa.array([None] * len(hit) + [v for _, v in edges], pa.int64()),
-        "n": pa.array([*n[hit].tolist(), *[0] * len(edges)], pa.int64()),
-    })
-
-
-def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict:
-    """The same with arrays, for many links."""
-    low = ids.copy()
-    while True:
-        new = low.copy()
-        np.minimum.at(new, a, low[b])
-        np.minimum.at(new, b, low[a])
-        if (new == low).all():
-            break
-        low = new
-    some = np.unique(np.concatenate([a, b]))
-    return dict(zip(ids[some].tolist(), low[some].tolist()))
+    root = np.arange(len(ids))
+    found: list[tuple[int, int]] = []
+
+    def confirm(a: np.ndarray, b: np.ndarray) -> None:
+        for k in range(0, len(a), 1 << 14):
+            p, q = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+            apart = root[p] != root[q]
+            p, q = p[apart], q[apart]
+            ok = np.einsum("ij,ij->i", unit[p], unit[q]) >= LEAST
+            for x, y in zip(p[ok].tolist(), q[ok].tolist()):
+                if root[x] != root[y]:
+                    root[root == root[y]] = root[x]
+                    found.append((x, y))
+
+    for k in range(0, len(left), 256):
+        rows = left[k : k + 256]
+        for cols in [right, left[k:]] if diagonal else [right]:
+            a, b = np.nonzero(single[rows] @ single[cols].T >= least)
+            a, b = rows[a], cols[b]
+            if cols is not right:
+                a, b = a[a < b], b[a < b]
+            for key in (a, b):  # one link of each first, which mostly makes the others known
+                one = np.unique(key, return_index=True)[1]
+                confirm(a[one], b[one])
+            confirm(a, b)
+    return pa.table({c: pa.array(ids[[pair[k] for pair in found]] if found else [], pa.int64()) for k, c in enumerate("uv")})
+
+
+def _count(members: pa.Table, kind: str) -> pa.Table:
+    """Columns f, component and n: how many vectors each is linked with. members: small components whole (i is -1), or
+    blocks i and j of one; component, i, j, left, id, m, x."""
+    i, j = members["i"][0].as_py(), members["j"][0].as_py()
+    component, ids, many, unit = members["component"].to_numpy(), members["id"].to_numpy(), members["m"].to_numpy(), _units(members["x"], kind)
+    n = np.zeros(len(ids), np.int64)
+    order = np.argsort(component, kind="stable")
+    if i < j:
+        at_left = members["left"].to_numpy(zero_copy_only=False)
+        sides = [(np.flatnonzero(at_left), np.flatnonzero(~at_left))]
+    else:
+        sides = [(rows, rows) for rows in np.split(order, np.flatnonzero(np.diff(component[order])) + 1)]
+    for left, right in sides:
+        for k in range(0, len(left), 128):
+            a, b = left[k : k + 128], right[k:] if i == j else right
+            near = unit[a] @ unit[b].T >= LEAST
+            if i == j:
+                near = np.triu(near, 1)
+            n[a] += near @ many[b]
+            n[b] += many[a] @ near
+    return pa.table({"f": pa.array(ids), "component": pa.array(component), "n": pa.array(n)})
 
 
 def _spread(rows: DataFrame, plan: Plan, kind: str) -> DataFrame:
-    """rows: id, m, x. A row for the home and each probe in each table: b (cell), t, probe, id, m, x."""
+    """rows: id, x. A row for the home and each probe in each table: b (cell), probe, id, x."""
 
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                homes, probes = cells(_units(part.column(2).to_pylist(), kind), plan)
+                homes, probes = cells(_units(part.column(1), kind), plan)
                 every = np.concatenate([homes[:, :, None], probes], axis=2)
                 index = pa.array(np.repeat(np.arange(part.num_rows), plan.tables * (1 + plan.probes)))
-                tables = np.tile(np.repeat(np.arange(plan.tables), 1 + plan.probes), part.num_rows).astype(np.int32)
                 probe = np.tile(np.arange(1 + plan.probes) > 0, part.num_rows * plan.tables)
                 spread = part.take(index)
-                yield pa.RecordBatch.from_arrays([pa.array(every.reshape(-1)), pa.array(tables), pa.array(probe), *spread.columns], names=["b", "t", "probe", "id", "m", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(every.reshape(-1)), pa.array(probe), *spread.columns], names=["b", "probe", "id", "x"])
 
-    return rows.mapInArrow(tidy(run), "b bigint, t int, probe boolean, id bigint, m bigint, x binary")
+    return rows.mapInArrow(tidy(run), "b bigint, probe boolean, id bigint, x binary")
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -240,18 +234,13 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     every = checkpoint(rows.mapInArrow(pack, "k bigint, x binary").withColumn("f", F.when(F.col("x").isNotNull(), F.xxhash64("x"))))
     classes = every.filter("x IS NOT NULL").groupBy("f").agg(F.min("k").alias("c"), F.count(F.lit(1)).alias("m"))
     shape = every.filter("x IS NOT NULL").select("f", "x", F.length("x").alias("size"), F.col("k").alias("c"))
-    reps = shape.join(classes, ["f", "c"]).dropDuplicates(["f"])
+    reps = checkpoint(shape.join(classes, ["f", "c"]).dropDuplicates(["f"]).select(F.col("f").alias("id"), "m", "x", "size"))
     sizes = reps.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()  # a row for each length of vectors
-    counts = links = None
-    for size, n in sizes:
-        found = _found(reps.filter(F.col("size") == size).select(F.col("f").alias("id"), "m", "x"), plan_for(n), kind)
-        n, e = found.filter("v IS NULL").select("u", "n"), found.filter("v IS NOT NULL").select("u", "v")
-        counts, links = (n, e) if counts is None else (counts.unionByName(n), links.unionByName(e))
-    if counts is None:
+    if not sizes:
         alone = F.when(F.col("k") != top, F.col("k"))
         return every.select(alone.alias(key), F.lit(0).cast("long").alias("n_links"), alone.alias("component_id"), F.lit(True).alias("kept"))
-    of = classes.join(counts.groupBy("u").agg(F.sum("n").alias("n")), F.col("f") == F.col("u"), "left").drop("u")
-    of = checkpoint(of.join(components(links), F.col("f") == F.col("node"), "left").select("f", "c", "m", "n", "component"))
+    links = reduce(DataFrame.unionByName, [_found(reps.filter(F.col("size") == size).select("id", "x"), plan_for(n), kind) for size, n in sizes])
+    of = checkpoint(classes.join(_counts(reps, components(links), kind), "f", "left").select("f", "c", "m", "n", "component"))
     least = of.filter("component IS NOT NULL").groupBy("component").agg(F.min("c").alias("low"))
     of = of.join(least, "component", "left")
     of = of.select("f", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("low", "c").alias("c"))
@@ -261,14 +250,31 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
 
 def _found(reps: DataFrame, plan: Plan, kind: str) -> DataFrame:
+    """Links u, v that connect all that the cells of reps (id, x) do."""
     spread = _spread(reps, plan, kind)
     crowd = spread.groupBy("b").agg(F.sum((~F.col("probe")).cast("long")).alias("home"), F.count(F.lit(1)).alias("all")).filter("home > 0 AND all > 1")
     crowd = checkpoint(crowd.select("b", F.ceil(F.col("all") / BLOCK).cast("int").alias("parts")))
     keyed = spread.join(small(crowd, crowd.count()), "b").withColumn("p", F.expr("cast(pmod(xxhash64(id), parts) AS int)"))
-    as_left = keyed.filter("NOT probe").select("*", F.explode(F.expr("sequence(0, parts - 1)")).alias("j")).select("b", F.col("p").alias("i"), "j", "t", F.lit(0).alias("side"), "id", "m", "x")
-    to = F.expr("CASE WHEN probe THEN sequence(0, parts - 1) WHEN p > 0 THEN sequence(0, p - 1) ELSE cast(array() AS array<int>) END")
-    as_right = keyed.select("*", F.explode(to).alias("i")).select("b", "i", F.col("p").alias("j"), "t", F.expr("CASE WHEN probe THEN 2 ELSE 1 END").alias("side"), "id", "m", "x")
-    return checkpoint(as_left.unionByName(as_right).groupBy("b", "i", "j").applyInArrow(lambda cell: _compare(cell, plan, kind), "u bigint, v bigint, n bigint"))
+    at_right = "transform(sequence(0, {}), k -> struct(k AS i, p AS j, {} AS side))"
+    at_left = "transform(sequence(0, parts - 1), k -> struct(p AS i, k AS j, 0 AS side))"
+    places = f"CASE WHEN probe THEN {at_right.format('parts - 1', 2)} WHEN p > 0 THEN concat({at_left}, {at_right.format('p - 1', 1)}) ELSE {at_left} END"
+    placed = keyed.select("b", "id", "x", F.explode(F.expr(places)).alias("at")).select("b", "at.i", "at.j", "at.side", "id", "x")
+    return checkpoint(placed.groupBy("b", "i", "j").applyInArrow(lambda cell: _compare(cell, kind), "u bigint, v bigint"))
+
+
+def _counts(reps: DataFrame, found: DataFrame, kind: str) -> DataFrame:
+    """f, component and n (linked vectors) of those of reps (id, m, x, size) that are found (node, component)."""
+    found = checkpoint(found)
+    total = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).filter("parts > 1")
+    large = checkpoint(total)
+    groups = found.count() // BLOCK + 1
+    member = reps.join(found, F.col("id") == F.col("node")).join(small(large, large.count()), "component", "left").withColumn("p", F.expr("cast(pmod(xxhash64(id), parts) AS int)"))
+    pairs = "concat(transform(sequence(p, parts - 1), k -> struct(p AS i, k AS j, true AS left)), filter(transform(sequence(0, p), k -> struct(k AS i, p AS j, false AS left)), x -> x.i < p))"
+    whole = "array(struct(-1 AS i, -1 AS j, true AS left))"
+    placed = member.select("size", "component", "id", "m", "x", F.when(F.col("parts").isNull(), F.expr(f"pmod(xxhash64(component), {groups})")).otherwise(F.col("component")).alias("g"), F.explode(F.expr(f"CASE WHEN parts IS NULL THEN {whole} ELSE {pairs} END")).alias("at"))
+    placed = placed.select("size", "g", "at.*", "component", "id", "m", "x")
+    counted = placed.groupBy("size", "g", "i", "j").applyInArrow(lambda members: _count(members, kind), "f bigint, component bigint, n bigint")
+    return counted.groupBy("f", "component").agg(F.sum("n").alias("n"))
 
 
 def op3_e8_lattice(spark, sf_dir: str) -> DataFrame:
