@@ -22,10 +22,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from interfera.llm.components import components
+from interfera.llm.components import components, forest
 from interfera.llm.store import checkpoint, small, small_batches, table, tidy
 from interfera.llm.words import SOLID, mix, runs, words
 
@@ -37,6 +37,8 @@ BANDS, ROWS = 50, 5
 #: Shingles of a block.
 BLOCK = 1 << 19
 _BYTES = 1 << 20
+#: Bands that a task holds at once.
+_CHUNK = 1 << 19
 
 
 def shingles(texts: list[str | None]) -> list[np.ndarray]:
@@ -93,26 +95,34 @@ def bands(shingle: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sets(rows: DataFrame, kind: str) -> DataFrame:
-    """rows: k, t. Returns k, f (the set's digest; null for an empty set) and, with kind "bands", n and bands; with
-    "set", set."""
+def _sets(rows: DataFrame, whole: bool = False) -> DataFrame:
+    """rows: k, t. Returns k, f (the set's digest; null for an empty set), n and bands; with ``whole`` also set, and
+    then rows of a key and a set that a task has seen may be left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, j in runs([len(t) if t else 0 for t in texts], _BYTES):
-                sets = shingles(texts[i:j])
-                columns = [batch.column(0).slice(i, j - i), pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())]
-                if kind == "set":
-                    names = ["k", "f", "set"]
-                    columns.append(pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())))
-                else:
-                    names = ["k", "f", "n", "bands"]
-                    columns.append(pa.array([len(s) for s in sets], pa.int64()))
-                    columns.append(pa.array([bands(s).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return rows.mapInArrow(tidy(run), "k bigint, f binary, " + ("set array<bigint>" if kind == "set" else "n bigint, bands array<bigint>"))
+                keys, sets = batch.column(0).slice(i, j - i), shingles(texts[i:j])
+                digests = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                if whole:
+                    seen = seen if len(seen) < 1 << 16 else set()
+                    new = []
+                    for at, pair in enumerate(zip(keys.to_pylist(), digests)):
+                        if pair not in seen:
+                            seen.add(pair)
+                            new.append(at)
+                    keys, sets, digests = keys.take(pa.array(new, pa.int64())), [sets[at] for at in new], [digests[at] for at in new]
+                columns = {
+                    "k": keys, "f": pa.array(digests, pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "bands": pa.array([bands(s).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                }
+                if whole:
+                    columns["set"] = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return rows.mapInArrow(tidy(run), "k bigint, f binary, n bigint, bands array<bigint>" + (", set array<bigint>" if whole else ""))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,12 +138,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     top = (1 << 63) - 1
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(top)).alias("k"), F.col(text).cast("string").alias("t"))
-    every = checkpoint(_sets(rows, "bands"))
-    # a class is named by its row's number, as keys may repeat
-    classes = checkpoint(every.filter("n > 0").groupBy("f").agg(F.min("k").alias("k")).withColumn("id", F.monotonically_increasing_id()))
-    # of each class, a row of the smallest key stands for it
-    marked = every.join(classes, ["k", "f"]).select("id", "k", "f", "n", "bands").dropDuplicates(["id"])
-    found = components(_links(marked, rows))
+    every = checkpoint(_sets(rows))
+    # a class is named by its row's number, as keys may repeat; a row of its smallest key stands for it
+    classes = checkpoint(every.filter("n > 0").groupBy("f").agg(F.min("k").alias("k"), F.max("n").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    found = components(_links(classes, _families(every.filter("n > 0")), rows))
     joined = classes.join(found.select(F.col("node").alias("id"), F.col("component").alias("root")), "id")
     least = joined.groupBy("root").agg(F.min("k").alias("component"))
     reached = classes.join(joined.select("id", "root").join(least, "root"), "id", "left").select("f", F.coalesce("component", "k").alias("component"))
@@ -142,34 +150,81 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.select(shown("k").alias(key), F.col("n").alias("n_shingles"), shown("component").alias("component_id"), (F.col("k") == F.col("component")).alias("kept"))
 
 
-def _links(classes: DataFrame, rows: DataFrame) -> DataFrame:
+def _links(classes: DataFrame, families: DataFrame, rows: DataFrame) -> DataFrame:
     """Confirmed links u, v between classes that connect all that is connected. classes: id, k (a key with that set),
-    f (the set's digest), n and bands of each."""
-    family = checkpoint(_families(classes).join(classes, "id"))
-    total = family.groupBy("component").agg(F.sum("n").alias("all")).filter(F.col("all") > BLOCK)
-    large = checkpoint(total.select("component", F.lit(True).alias("large")))
-    wanted = family.select("k").distinct()
-    sets = _sets(rows.join(small(wanted, wanted.count()), "k", "left_semi"), "set")
-    # other texts of the same key have other digests
-    sets = checkpoint(sets.join(family.select("id", "f"), "f").select("id", "set").dropDuplicates(["id"]))
-    family = family.join(small(large, large.count()), "component", "left")
+    f (the set's digest) and n of each."""
+    named = classes.withColumn("node", F.xxhash64("f"))
+    family = checkpoint(named.join(small(families, families.count()), "node"))
+    large = checkpoint(family.groupBy("component").agg(F.sum("n").alias("all")).filter(F.col("all") > BLOCK).select("component", F.lit(True).alias("large")))
+    family = checkpoint(family.join(small(large, large.count()), "component", "left"))
+    # sets are dealt once, by family; there a class has its digest for a name
+    few = family.filter("large IS NULL")
+    nodes = few.select("node", "component").distinct()
     every = F.lit(True)
-    at_once = family.filter("large IS NULL").select("component", "id", F.col("id").alias("root"), "bands", every.alias("left"), every.alias("right"))
-    links = checkpoint(at_once.join(sets, "id").groupBy("component").applyInArrow(_confirm, "u bigint, v bigint"))
+    at_once = _sets_of(few, rows).withColumn("node", F.xxhash64("f")).join(small(nodes, nodes.count()), "node")
+    at_once = at_once.select("component", F.col("f").alias("id"), "bands", "set").repartition("component").dropDuplicates(["component", "id"])
+    found = checkpoint(at_once.withColumns({"left": every, "right": every}).groupBy("component").applyInArrow(_confirm, "u binary, v binary"))
+    u, v = (few.select(F.col("f").alias(c), F.col("id").alias(f"{c}_id")) for c in "uv")
+    links = checkpoint(found.join(u, "u").join(v, "v").select(F.col("u_id").alias("u"), F.col("v_id").alias("v")))
     if not large.take(1):
         return links
-    stars = checkpoint(_stars(family.filter("large"), sets))
+    family = family.filter("large").select("component", "id", "k", "f")
+    sets = _sets_of(family, rows).select("f", "n", "bands", "set").repartition("f").dropDuplicates(["f"])
+    sets = checkpoint(sets.join(family.select("component", "id", "f"), "f").select("component", "id", "n", "bands", "set"))
+    family, sets = sets.select("component", "id", "n", "bands"), sets.select("id", "set")
+    stars = checkpoint(_stars(family, sets))
     known = components(stars).select(F.col("node").alias("id"), F.col("component").alias("root"))
-    rooted = checkpoint(family.filter("large").join(known, "id", "left").select("id", "n", "bands", F.coalesce("root", "id").alias("root")))
-    rest = _families(rooted).join(rooted, "id").select("component", "id", "root", "n", "bands")
+    rooted = checkpoint(family.join(known, "id", "left").select("id", "n", "bands", F.coalesce("root", "id").alias("root")))
+    rest = _unsettled(rooted).join(rooted, "id").select("component", "id", "root", "n", "bands")
     return links.unionByName(stars).unionByName(checkpoint(_in_blocks(checkpoint(rest), sets)))
 
 
-def _families(classes: DataFrame) -> DataFrame:
-    """id and component of the classes that are connected by shared bands. With ``root``, bands whose classes all have
-    the same root don't count."""
-    root = F.col("root") if "root" in classes.columns else F.col("id")
-    keyed = classes.select("id", root.alias("root"), F.explode("bands").alias("b"))
+def _sets_of(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The sets of the rows with the keys of these classes. Other texts of the same keys, which have other digests, are
+    among them, and repeated rows."""
+    wanted = classes.select("k").distinct()
+    return _sets(rows.join(small(wanted, wanted.count()), "k", "left_semi"), whole=True)
+
+
+def _families(sets: DataFrame) -> DataFrame:
+    """node and component of the sets that are connected by shared bands; a set's node is a hash of its digest f, as two
+    sets of one node merely make one family of two.
+
+    A band goes to the task that it's dealt to once from each chunk of a task, with one of the nodes that have it
+    there. What else has it in the chunk is linked with that node by a band that only these two have.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, band, held = [], [], 0
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            node.append(np.repeat(batch.column(0).to_numpy(), BANDS))
+            band.append(flat)
+            held += len(flat)
+            if held >= _CHUNK:
+                yield once(np.concatenate(node), np.concatenate(band))
+                node, band, held = [], [], 0
+        if held:
+            yield once(np.concatenate(node), np.concatenate(band))
+
+    def once(node: np.ndarray, band: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((node, band))
+        node, band = node[order], band[order]
+        first = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+        lead = np.repeat(node[first], np.diff(np.append(first, len(band))))
+        pairs = np.unique(np.stack([node, lead], axis=1)[node != lead], axis=0)
+        tree = np.array([p for p in forest(pairs[:, 0].tolist(), pairs[:, 1].tolist()).items() if p[0] != p[1]], dtype=np.int64).reshape(-1, 2)
+        own = mix(mix(tree[:, 0].view(np.uint64)) + tree[:, 1].view(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([band[first], own, own])), pa.array(np.concatenate([node[first], tree[:, 0], tree[:, 1]]))], names=["b", "node"])
+
+    dealt = sets.select(F.xxhash64("f").alias("node"), "bands").mapInArrow(tidy(run), "b bigint, node bigint")
+    return components(dealt.select(F.lag("node").over(Window.partitionBy("b").orderBy("node")).alias("u"), F.col("node").alias("v")).filter("u <> v"))
+
+
+def _unsettled(classes: DataFrame) -> DataFrame:
+    """id and component of the classes that are connected by bands, where bands whose classes all have the same root
+    don't count. classes: id, root and bands."""
+    keyed = classes.select("id", "root", F.explode("bands").alias("b"))
     shared = keyed.groupBy("b").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("id").alias("u")).filter("low < high")
     return components(keyed.join(shared, "b").select("u", F.col("id").alias("v"))).select(F.col("node").alias("id"), "component")
 
@@ -208,7 +263,7 @@ def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
 def _confirm(block: pa.Table) -> pa.Table:
     """Of two blocks i and j of a family, or one, a spanning forest of the links: pairs that share a band, confirmed on
     their sets if they aren't known to be connected."""
-    names = block["id"].to_numpy()
+    names = block["id"].combine_chunks()
     size = np.array([len(x) for x in block["set"]], dtype=np.int64)
     flat = block["set"].combine_chunks().values.to_numpy(zero_copy_only=False)
     band = block["bands"].combine_chunks().values.to_numpy(zero_copy_only=False).reshape(len(names), BANDS)
@@ -217,8 +272,9 @@ def _confirm(block: pa.Table) -> pa.Table:
     left, others = (np.flatnonzero(block[c].to_numpy(zero_copy_only=False)) for c in ("left", "right"))
     alone = len(left) == len(names) == len(others)
     has = np.zeros(int(place.max(initial=-1)) + 1, dtype=bool)
-    known, root = np.unique(block["root"].to_numpy(), return_inverse=True)  # of each row, the tree that it's in
-    trees = len(known)
+    # of each row, the tree that it's in
+    root = np.unique(block["root"].to_numpy(), return_inverse=True)[1] if "root" in block.column_names else np.arange(len(names))
+    trees = int(root.max(initial=-1)) + 1
     found: list[tuple[int, int]] = []
     for at, u in enumerate(left):
         if trees == 1:
@@ -244,10 +300,10 @@ def _confirm(block: pa.Table) -> pa.Table:
                 if root[v] != root[u]:
                     root[root == root[v]] = root[u]
                     trees -= 1
-                    found.append((int(names[u]), int(names[v])))
+                    found.append((u, v))
             right = right[root[right] != root[u]]
         has[mine] = False
-    return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+    return pa.table({c: names.take(pa.array([pair[k] for pair in found], pa.int64())) for k, c in enumerate("uv")})
 
 
 def op4_circulant_minhash(spark, sf_dir: str) -> DataFrame:
